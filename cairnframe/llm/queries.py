@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnframe.llm import bpe, line_dedup, packing, simhash
+from cairnframe.llm import bpe, language, line_dedup, packing, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op3_language": language.op3_language,
+        "op4_pii": pii.op4_pii,
+        "op5_secrets": secrets.op5_secrets,
         "op7_packing": packing.op7_packing,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op10_line_dedup": line_dedup.op10_line_dedup,

@@ -1,0 +1,76 @@
+import hashlib
+import re
+
+from cairnframe.llm import secrets
+from tests.llm.helpers import clashing, documents, saved
+
+RULES = {
+    "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8, re.I | re.A),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16, 0),
+    "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32, 0),
+}
+
+
+def brute(text):
+    out = []
+    for k, (kind, (pattern, good, flags)) in enumerate(RULES.items()):
+        # letters in either case: ASCII only
+        out += [(m.start(), k, m.end(), kind) for m in re.finditer(pattern, text or "", flags) if good(m)]
+    return [(kind, s, e) for s, _, e, kind in sorted(out)]
+
+
+def check(rows, got):
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    for d, t in rows:
+        want = brute(t)
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        sha = hashlib.sha256(joined.encode()).hexdigest()
+        r = next(r for r in by[d] if r.base_sha256 == sha)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in want) for k in RULES)
+        spans = [s for s in r.spans.split(",") if s]
+        assert [s for s in spans if not s.startswith("random")] == [s for s in joined.split(",") if s]
+
+
+def test_base_rules_on_a_table(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    check(rows, secrets.op5_secrets(spark, sf).collect())
+
+
+def test_odd_texts(spark, tmp_path):
+    h = hashlib.sha256(b"x").hexdigest()
+    texts = [
+        f'🙂 Token: "{h}" AND PASSWORD = abc secret=token: abcdefghij api_key:abcdefgh apikey="A.b-c/d+e=f" é',
+        "AKIA" + "A" * 11 + " AKIA" + "B7" * 6 + " AKIAAKIAAKIAAKIA1 xAKIA0123456789AB",
+        f"{h}{h} {h[:31]} {h[:32]}g {h.upper()}",
+        "ſecret=longenoughvalue toKen=longenoughvalue",  # long s and Kelvin sign are no ASCII letters
+        "password=" + "a" * 20_000 + " token=b" * 300,
+        "token=\nabcdefghij token = = abcdefghij",
+    ]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(100, None, None, None, None), (101, "", "en", "s", 1), (None, f"x {h}", "en", "s", 1), (3, texts[0], "en", "s", 1)]
+    got = secrets.op5_secrets(spark, saved(clashing(documents(spark, rows)), tmp_path)).collect()
+    assert len(got) == len(rows)
+    check([r[:2] for r in rows], got)
+
+
+def test_models_tell_random_strings_from_identifiers(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.train(secrets.labelled_samples(docs))
+    from pyspark.sql import functions as F
+
+    random = [hashlib.sha256(str(i).encode()).hexdigest()[:24].upper() for i in range(50)] + ["dGhpcyBpcyBhIHRlc3Q5Kx8z", "q7Zp2LmX9vR4tB1nW8sK"]
+    plain = ["reading_the_ordinary_lines_2", "thationIngtheredInstance12", "Theresult/ofthing/number7", "release-notes-of-the-year-2024", "onthebooksandpapers_section_1"]
+    df = spark.createDataFrame([(x,) for x in random + plain], "t string").select("t", secrets.mean_llr(F.col("t"), secrets._table(model)).alias("x"))
+    score = {r.t: r.x for r in df.collect()}
+    assert sum(score[t] >= secrets.THRESHOLD for t in random) >= 0.95 * len(random)
+    assert all(score[t] < secrets.THRESHOLD for t in plain)
+    key = "zX9kQ2mV7bT4wL8pR3nY6c"
+    found = secrets.scan(spark.createDataFrame([(1, f"see {key} there and read_the_manual_of_2024_now")], "doc_id long, text string"), model).select(secrets.span_string(F.col("__all")).alias("s"), secrets.redact(F.col("text"), F.col("__all")).alias("r")).first()
+    assert found.s == f"random:4:{4 + len(key)}"
+    assert found.r == "see [secret] there and read_the_manual_of_2024_now"
+
+
+def test_empty_table(spark):
+    docs = documents(spark, [])
+    assert secrets.find_secrets(docs).collect() == []
