@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnframe.llm import bpe, language, line_dedup, packing, pii, secrets, simhash
+from cairnframe.llm import bpe, fingerprint, language, line_dedup, packing, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language": language.op3_language,
         "op4_pii": pii.op4_pii,
         "op5_secrets": secrets.op5_secrets,
+        "op6_fingerprint": fingerprint.op6_fingerprint,
         "op7_packing": packing.op7_packing,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op10_line_dedup": line_dedup.op10_line_dedup,
