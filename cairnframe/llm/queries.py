@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnframe.llm import bpe, fingerprint, language, line_dedup, packing, pii, secrets, simhash
+from cairnframe.llm import bpe, embeddings, fingerprint, language, line_dedup, packing, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embeddings": embeddings.op1_embeddings,
         "op2_simhash": simhash.op2_simhash,
         "op3_language": language.op3_language,
         "op4_pii": pii.op4_pii,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL can express these; the others are held against brute force in tests/llm."""
-    return {"op10_line_dedup": line_dedup.OP10_SQL}
+    return {"op1_embeddings": embeddings.OP1_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
