@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnframe.llm import bpe, embeddings, fingerprint, language, line_dedup, packing, pii, secrets, simhash
+from cairnframe.llm import bpe, embeddings, fingerprint, language, line_dedup, packing, pii, secrets, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprint": fingerprint.op6_fingerprint,
         "op7_packing": packing.op7_packing,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_repeats": suffix.op9_repeats,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
