@@ -48,19 +48,17 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     have no row.
     """
     n = shuffle_partitions(docs.sparkSession)
-    lines = docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        _row_key(F.col("text")).alias("row_key"),
-        F.size(_lines(F.col("text"))).alias("n_lines"),
-        F.posexplode(_lines(F.col("text"))).alias("pos", "line"),
-    )
-    key = lower_ascii(F.btrim("line", F.lit(BLANKS)))
+    split = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(F.col("text")).alias("row_key"), _lines(F.col("text")).alias("lines"))
+    lines = split.select("doc_id", "row_key", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
     keyed = (
-        lines.where(F.length(F.btrim("line", F.lit(BLANKS))) >= min_chars)
-        .select("doc_id", "row_key", "n_lines", "pos", key.alias("key"))
+        lines.where(F.octet_length("line") >= min_chars)
+        .select("doc_id", "row_key", "n_lines", "pos", F.btrim("line", F.lit(BLANKS)).alias("line"))
+        .where(F.length("line") >= min_chars)
+        .select("doc_id", "row_key", "n_lines", "pos", lower_ascii(F.col("line")).alias("key"))
         .select("doc_id", "row_key", "n_lines", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
-    rows = cut(keyed.repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "row_key", "pos"))
+    # cut first: finding the range bounds samples the rows, and would read and split every text twice
+    rows = cut(cut(keyed).repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "row_key", "pos"))
     first = rows.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
     shared = cut(
         first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs)
