@@ -18,6 +18,8 @@ from cairnframe.functions.types import PLACEHOLDER_KEY
 # Boolean placeholder, least integer, and the order in which number placeholders are tried.
 BOOLEAN_PLACEHOLDER = -1
 INTEGER_PLACEHOLDER = -(2**31)
+# Where the least integer is a value of the column (it is one here, not missing), the next candidate stands in.
+INTEGER_CANDIDATES = [INTEGER_PLACEHOLDER, 2**31 - 1, *range(-1, -65, -1)]
 NUMBER_CANDIDATES = [float("inf"), float("-inf"), sys.float_info.max, -sys.float_info.max, *[float(i) for i in range(64)]]
 
 
@@ -60,10 +62,13 @@ def placeholder(df: DataFrame, column: str):
         if got["needed"] and got["value"] is None:
             raise ValueError(f"column '{column}' holds every candidate placeholder")
         return got["value"]
-    missing = df.agg(any_missing(c)).first()[0]
-    if not missing:
-        return None
-    return BOOLEAN_PLACEHOLDER if isinstance(kind, T.BooleanType) else INTEGER_PLACEHOLDER
+    if isinstance(kind, T.BooleanType):
+        return BOOLEAN_PLACEHOLDER if df.agg(any_missing(c)).first()[0] else None
+    needed, held = df.agg(any_missing(c), F.collect_set(F.when(c.isin(INTEGER_CANDIDATES), c))).first()
+    free = [i for i in INTEGER_CANDIDATES if i not in held]
+    if needed and not free:
+        raise ValueError(f"column '{column}' holds every candidate placeholder")
+    return free[0] if needed else None
 
 
 def encode_missing(df: DataFrame, column: str) -> DataFrame:

@@ -58,7 +58,7 @@ def loading(files, path: str):
     if files.exists(f"{path}/{FILE}"):
         try:
             found = json.loads(files.read(f"{path}/{FILE}"))
-        except ValueError:
+        except Exception:  # any broken record: bad JSON, bad checksum, no permission
             warnings.warn(f"cannot read the environment of '{path}'", stacklevel=2)
     _state["loaded"].append(found)
     try:
