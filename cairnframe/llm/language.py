@@ -7,8 +7,9 @@ how well it does on that language in training; the nearest codeword wins, and a
 small lead over the second marks the result as ambiguous.
 
 Training uses a bounded sample: per language the ``SAMPLE_PER_LANGUAGE``
-documents with the least hash of doc_id, whole texts.  Their feature counts are
-made on the executors; only those vectors reach the driver.  Prediction is one
+documents with the least hash of doc_id, whole texts (an id that repeats brings
+all its rows).  Feature counts are made on the executors; only those vectors
+reach the driver.  Prediction is one
 narrow pass over all texts with a model of fixed size.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnframe.llm.common import table, text_slices
+from cairnframe.llm.common import cut, small, table, text_slices
 
 SAMPLE_PER_LANGUAGE = 300
 #: Hashed features per n-gram order.
@@ -175,15 +176,20 @@ def fit(x: np.ndarray, y: list[str], rounds: int = 150) -> Model:
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Model of the labelled rows (text, lang) of ``docs``; see the module for the sample's bound."""
-    labelled = docs.where("lang is not null and text is not null and doc_id is not null")
+    labelled = docs.where("lang is not null and doc_id is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("__h"))
+    counts = cut(labelled.groupBy("lang").agg(F.count("*").alias("__n")))
+    # a hash bound leaves about four times the sample of each language before anything is ordered
+    share = F.least(F.lit(1.0), F.lit(4.0 * per_language + 100) / F.col("__n"))
+    likely = labelled.join(small(counts), "lang").where(F.shiftrightunsigned("__h", 11) < share * float(1 << 53))
     order = Window.partitionBy("lang").orderBy("__h", "doc_id")
-    ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("__h")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language).select("doc_id").distinct()
-    chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    ids = likely.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= per_language).select("doc_id").distinct()
+    ids = small(cut(ids))
+    chosen = docs.where("lang is not null").join(ids, "doc_id", "left_semi").select(F.col("lang").cast("string"), F.col("text").cast("string"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = features(text.as_py())
+                x = features(text.as_py() or "")
                 at = np.flatnonzero(x).astype("<u2")
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.tobytes()], pa.binary()), pa.array([x[at].astype("<f4").tobytes()], pa.binary())], names=["lang", "at", "x"])

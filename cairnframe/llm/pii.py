@@ -206,6 +206,12 @@ class PiiCipher:
                 if any(i < e and j > s for s, e, _, _ in taken):
                     continue
                 new = act(m[0], back)
+                if new is None and kind == "card":
+                    # digits behind a card number may have been taken for its end
+                    for cut_at in reversed([k for k, c in enumerate(m[0]) if c in " -"]):
+                        if len(_digits(m[0][:cut_at])) >= 13 and (new := act(m[0][:cut_at], back)) is not None:
+                            j = i + cut_at
+                            break
                 if new is not None:
                     taken.append((i, j, kind, new))
         taken.sort()

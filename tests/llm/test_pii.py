@@ -21,6 +21,12 @@ def test_round_trip_and_validity():
     assert [k for *_, k in again] == [k for *_, k in spans]  # every pseudonym is valid in its kind
 
 
+def test_card_with_digits_behind_it():
+    for t in ("4111111111111111 42", "4111 1111 1111 1111 7 8", "4111111111111111 +1 (988) 555-2485"):
+        new, spans = C.replace(t)
+        assert spans[0][2] == "card" and spans[0][1] in (16, 19) and C.reveal(new) == t
+
+
 def test_equal_values_stay_linked():
     new, _ = C.replace(TEXT)
     cards = [pii._digits(new[new.index("card ") :][5:24]), pii._digits(new[new.index(" or ") + 4 :][:19])]
