@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from cairnframe.llm import language, line_dedup, packing, secrets, simhash_wide
 from cairnframe.llm.common import cut, small, table
 
-#: A language found with less than this share of the decoding's weight is no language.
-LEAST_SCORE = 0.4
+#: A text whose best language has less than this multiple of an even share of the decoding's weight fits no codeword.
+LEAST_LEAD = 1.1
 
 ORACLE_SQL = None
 
@@ -43,7 +43,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") if c != "text" else F.col("text") for i, c in enumerate(docs.columns)])
     judged = language.label(plain, model, "__lang string, __score double, __close boolean")
-    kept = judged.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
+    kept = judged.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") * len(model.languages) >= LEAST_LEAD if len(model.languages) > 1 else F.lit(True)))
     out = []
     for i, c in enumerate(docs.columns):
         source = F.col("text") if c == "text" else F.col(f"c{i}")
