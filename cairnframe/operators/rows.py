@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Counted rows of a narrow side up to which it is broadcast.
@@ -52,3 +52,19 @@ def dense_index(df: DataFrame, column: str, *order) -> DataFrame:
     # an array by partition number: as long as there are partitions
     starts = F.lit([offsets.get(p, 0) for p in range(max(offsets) + 1)]).cast("array<long>")
     return rows.withColumn(column, F.get(starts, part.cast("int")) + within).drop("__at")
+
+
+def prefix_sums(df: DataFrame, order: str, value: str, column: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before it in ``order``.
+
+    Range partitions are summed one by one (one sum per partition reaches the driver) and added up
+    inside, so no task ever holds more than its own range.
+    """
+    rows = cut(df.repartitionByRange(order).sortWithinPartitions(order)).withColumn("__part", F.shiftright(F.monotonically_increasing_id(), 33).cast("int"))
+    total, starts = 0, {}
+    for p, n in sorted(tuple(r) for r in rows.groupBy("__part").agg(F.sum(value)).collect()):
+        starts[p] = total
+        total += n or 0
+    offsets = F.lit([starts.get(p, 0) for p in range(max(starts, default=0) + 1)]).cast("array<long>")
+    before = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn(column, F.coalesce(before, F.lit(0)) + F.get(offsets, F.col("__part"))).drop("__part")

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnframe.operators.rows import dense_index
+
 
 def references(meta: DataFrame) -> DataFrame:
     """(child, parent): every reference, one row each."""
@@ -64,8 +66,9 @@ def unknown_files(meta: DataFrame, files: DataFrame) -> DataFrame:
 def nested_by_neighbour(meta: DataFrame) -> DataFrame:
     """Non-children whose directory lies in that of their predecessor in sorted order."""
     dirs = meta.where(~F.col("is_child")).select(parent("path").alias("dir"))
-    before = F.lag("dir").over(Window.orderBy("dir"))
-    return dirs.withColumn("before", before).where(F.startswith("dir", F.concat("before", F.lit("/")))).select(F.col("dir").alias("path"), F.col("before").alias("inside"))
+    placed = dense_index(dirs, "n", "dir")
+    before = placed.select(F.col("dir").alias("inside"), (F.col("n") + 1).alias("n"))
+    return placed.join(before, "n").where(F.startswith("dir", F.concat("inside", F.lit("/")))).select(F.col("dir").alias("path"), "inside")
 
 
 def ancestors(c):

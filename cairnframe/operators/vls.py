@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnframe.operators.rows import prefix_sums
+
 BLOCK_ROWS = 4096
 # Fixed value: bytes of one pointer (two 64-bit numbers).
 POINTER_BYTES = 16
@@ -29,9 +31,7 @@ def pointers(df: DataFrame, row: str, text: str, block_rows: int = BLOCK_ROWS) -
     """``df`` with block, offset (from the start of all heaps), block_offset and length, all in bytes."""
     blocked = with_blocks(df, row, block_rows).withColumn("length", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
     totals = blocked.groupBy("block").agg(F.sum("length").alias("bytes"))
-    # one row per block: the only ordered pass over all of them
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
+    starts = prefix_sums(totals, "block", "bytes", "start").select("block", "start")
     inside = Window.partitionBy("block").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
     placed = blocked.withColumn("block_offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
     return placed.join(starts, "block").withColumn("offset", F.col("start") + F.col("block_offset")).drop("start")
