@@ -229,19 +229,32 @@ def with_successors(docs: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = d.select("doc_id")
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    bounds = [int(b) for b in bounds]
-    part = F.coalesce(F.array_size(F.filter(F.lit(bounds or [0]).cast("array<long>"), lambda b: b <= F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    firsts = ids.withColumn("part", part).groupBy("part").agg(F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).orderBy("part").collect()
-    back = []  # (first doc_id of a range, range before it)
-    for k, row in enumerate(firsts):
-        before = firsts[k - 1]["part"]  # of the first range: the last one
-        back.append((None if k == 0 and row["nulls"] else row["first"], before))
-    heads = F.lit(None).cast("int")
-    for first, before in back:
-        heads = F.when(F.col("doc_id").isNull() if first is None else F.col("doc_id") == first, F.lit(before)).otherwise(heads)
-    placed = d.select("*", F.explode(F.array(F.struct(part.cast("int").alias("part"), F.lit(False).alias("ahead")), F.struct(heads.alias("part"), F.lit(True).alias("ahead")))).alias("p"))
-    placed = placed.select("doc_id", "text", "p.part", "p.ahead").where("part is not null")
+    bounds = np.array(sorted({int(b) for b in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else [], dtype=np.int64)
+
+    def parts_of(column: pa.Array) -> np.ndarray:
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        return np.where(known, np.searchsorted(bounds, column.fill_null(0).to_numpy(), side="right"), 0)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            yield pa.RecordBatch.from_arrays([pa.array(parts_of(column), pa.int32()), column], names=["part", "doc_id"])
+
+    parts = ids.mapInArrow(least, "part int, doc_id long").groupBy("part").agg(F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    firsts = parts.orderBy("part").collect()
+    # first doc_id of a range (None: the rows without one) -> the range before it; before the first comes the last
+    back = {None if k == 0 and row["nulls"] else row["first"]: firsts[k - 1]["part"] for k, row in enumerate(firsts)}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            yield pa.RecordBatch.from_arrays([column, batch.column(1), pa.array(parts_of(column), pa.int32()), pa.array(np.zeros(len(column), bool))], names=["doc_id", "text", "part", "ahead"])
+            at = [(i, back[d]) for i, d in enumerate(column.to_pylist()) if d in back]
+            if at:
+                some = batch.take(pa.array([i for i, _ in at]))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([p for _, p in at], pa.int32()), pa.array(np.ones(len(at), bool))], names=["doc_id", "text", "part", "ahead"])
+
+    placed = d.mapInArrow(place, "doc_id long, text string, part int, ahead boolean")
     return placed.repartitionById(n, F.col("part")).sortWithinPartitions("ahead", F.col("doc_id").asc_nulls_first(), "text").select("doc_id", "text", "ahead")
 
 
