@@ -408,7 +408,8 @@ def _lower_levels(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
             earliest = np.lexsort((s, u))[0]
             rest = np.arange(len(u)) != earliest
             out.append((u[rest], s[rest], s[rest] + length))
-        arrays = [pa.array(np.concatenate([o[k] for o in out]) if out else [], pa.int64()) for k in range(3)]
+        # nested groups cover the same bytes again and again: what leaves the task is their union
+        arrays = [pa.array(a, pa.int64()) for a in (union_of(*(np.concatenate([o[k] for o in out]) for k in range(3))) if out else ([], [], []))]
         return pa.RecordBatch.from_arrays(arrays, names=["uid", "start", "stop"])
 
     pieces = texts.mapInArrow(fetch, schema)
@@ -477,6 +478,17 @@ def _removed(docs: DataFrame, of, column: str, kind: pa.DataType) -> DataFrame:
     return joined.mapInArrow(apply, f"doc_id long, {column}, n_bytes long, n_removed long, n_spans long")
 
 
+def union_of(uid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(uid, start, stop) of the maximal runs that the spans cover in each document."""
+    order = np.lexsort((start, uid))
+    uid, start, stop = uid[order], start[order], stop[order]
+    rank = np.concatenate([[0], np.cumsum(np.diff(uid) != 0)]) << 40  # spans of documents never touch
+    reach = np.maximum.accumulate(stop + rank)
+    fresh = np.flatnonzero(np.concatenate([[True], (start + rank)[1:] > reach[:-1]]))
+    last = np.concatenate([fresh[1:] - 1, [len(uid) - 1]])
+    return uid[fresh], start[fresh], (reach - rank)[last]
+
+
 def merge_spans(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs covered by the spans."""
     if not len(start):
