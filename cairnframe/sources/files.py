@@ -76,7 +76,7 @@ class Files:
 def absolutize(path: str, base: str | None = None) -> str:
     """Lexically absolute path: ``~``, ``.`` and ``..`` resolved, no look at the disk."""
     full = posixpath.join(base or os.getcwd(), os.path.expanduser(path))
-    return posixpath.normpath(full)
+    return "/" + posixpath.normpath(full).lstrip("/")
 
 
 def absolutize_column(path: Column, base: Column) -> Column:
