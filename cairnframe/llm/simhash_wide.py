@@ -37,9 +37,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 WORDS = 8
 SEGMENTS = 16
-SEGMENT_BITS = 20
+#: Least certain bits of a segment that its ball may flip.
 FLIPS = 5
-CROWD = 64
+CROWD = 8
 CHUNK = 1024
 _STEP = 4096
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, size=WORDS, dtype=np.uint64) | np.uint64(1)
@@ -51,7 +51,12 @@ def most_differing(similarity: float = SIMILARITY, bits: int = 64 * WORDS) -> in
     return math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
 
 
-def wide_simhash(text: str | None, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def segment_bits(n: int) -> int:
+    """Bits of a segment for n fingerprints: keys stay about as full at any size. The last word takes no part in keys."""
+    return min(28, max(20, math.ceil(math.log2(max(2, n))) + 2))
+
+
+def wide_simhash(text: str | None, shingle: int = SHINGLE, bits: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint as WORDS uint64, least certain bits of each segment as SEGMENTS x FLIPS places)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -69,22 +74,30 @@ def wide_simhash(text: str | None, shingle: int = SHINGLE) -> tuple[np.ndarray,
         ones += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     margin = 2 * ones - len(h)
     fp = np.packbits(margin > 0, bitorder="little").view("<u8")
-    segments = np.abs(margin[: SEGMENTS * SEGMENT_BITS]).reshape(SEGMENTS, SEGMENT_BITS)
+    segments = np.abs(margin[: SEGMENTS * bits]).reshape(SEGMENTS, bits)
     return fp, np.argsort(segments, axis=1, kind="stable")[:, :FLIPS].astype(np.uint8)
 
 
-def segment_keys(fp: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """rows x (SEGMENTS * (FLIPS + 1)) index keys of fingerprints (rows x WORDS) and their least certain bits."""
-    bits = np.unpackbits(np.ascontiguousarray(fp, "<u8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-    value = bits[:, : SEGMENTS * SEGMENT_BITS].reshape(len(fp), SEGMENTS, SEGMENT_BITS) @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
-    ball = np.concatenate([value[..., None], value[..., None] ^ (np.int64(1) << low.reshape(len(fp), SEGMENTS, FLIPS).astype(np.int64))], axis=2)
-    return ((np.arange(SEGMENTS, dtype=np.int64)[:, None] << SEGMENT_BITS) + ball).reshape(len(fp), -1)
+def segment_keys(fp: np.ndarray, low: np.ndarray, bits: int = 20) -> np.ndarray:
+    """Index keys, a row for each fingerprint (rows x WORDS): every segment's ball over its least certain bits.
+
+    The radius is one, and two for segments of more than 22 bits.
+    """
+    plain = np.unpackbits(np.ascontiguousarray(fp, "<u8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+    value = plain[:, : SEGMENTS * bits].reshape(len(fp), SEGMENTS, bits) @ (1 << np.arange(bits, dtype=np.int64))
+    flip = np.int64(1) << low.reshape(len(fp), SEGMENTS, FLIPS).astype(np.int64)
+    masks = [np.zeros_like(flip[..., :1]), flip]
+    if bits > 22:
+        i, j = np.triu_indices(FLIPS, 1)
+        masks.append(flip[..., i] | flip[..., j])
+    ball = value[..., None] ^ np.concatenate(masks, axis=2)
+    return ((np.arange(SEGMENTS, dtype=np.int64)[:, None] << bits) + ball).reshape(len(fp), -1)
 
 
-def _fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+def _fingerprints(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_simhash(t.as_py(), shingle) for t in batch.column(2)]
+            found = [wide_simhash(t.as_py(), shingle, bits) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f.tobytes() for f, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())],
                 names=["rid", "doc_id", "fp", "low"],
@@ -128,13 +141,14 @@ def _edges(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], at]), np.concatenate([at, [len(columns[0])]])
 
 
-def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between distinct fingerprints (node, fp, low)."""
+def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) that join all near fingerprints (node, fp, low) with segments of ``bits`` bits."""
     spark = nodes.sparkSession
     n = shuffle_partitions(spark)
     most = most_differing(similarity)
     p = most / (64 * WORDS)
-    most_of_64 = math.ceil(64 * p + 5 * math.sqrt(64 * p * (1 - p)))
+    # the last word decides first; a pair at the outermost distance passes but for a chance of 2e-4
+    most_of_64 = math.ceil(64 * p + 3.5 * math.sqrt(64 * p * (1 - p)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +156,7 @@ def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 b = batch.slice(s, 2000)
                 fp = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
                 low = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(fp), -1)
-                keys = segment_keys(fp, low)
+                keys = segment_keys(fp, low, bits)
                 # the last word takes no part in the keys
                 code = np.repeat(fp[:, -1].astype("<u8").view("<i8"), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1])), pa.array(code)], names=["key", "node", "code"])
@@ -183,24 +197,35 @@ def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     crowded = met.where("key is not null").select("key", F.col("a").alias("node"))
     chunks = cut(crowded.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
-    placed = (
-        crowded.join(small(chunks), "key")
-        .withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), "node")
-    )
-    dealt = placed.join(nodes.select("node", "fp"), "node").select("key", "ci", "cj", "node", "fp").repartition(n, "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "node")
+    chunked = crowded.join(small(chunks), "key").withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    prints = nodes.select("node", "fp")
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ci, cj, node, fp in _same_key(batches, 3):
+        for key, own, other, node, fp in _same_key(batches, 3):
             out: list[tuple[np.ndarray, np.ndarray]] = []
-            for s, e in zip(*_edges(key, ci, cj)):
+            for s, e in zip(*_edges(key, own, other)):
                 x = np.frombuffer(b"".join(fp[s:e]), "<u8").reshape(-1, WORDS)
                 out.append(_spanning(x, node[s:e], most))
             arrays = [pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(2)]
             yield pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
 
-    return plain.unionByName(dealt.mapInArrow(span, "a long, b long")).distinct()
+    def spanned(placed: DataFrame) -> DataFrame:
+        dealt = placed.join(prints, "node").select("key", "own", "other", "node", "fp").repartition(n, "key", "own", "other")
+        return dealt.sortWithinPartitions("key", "own", "other", "node").mapInArrow(span, "a long, b long")
+
+    # first inside the chunks of each key
+    inside = plain.unionByName(spanned(chunked.withColumn("other", F.lit(0)))).distinct()
+    roots = cut(connected_components(inside))
+    # then between chunks, but only what is not joined yet: members outside a key's largest component against all others
+    known = cut(chunked.where("chunks > 1").join(roots, "node", "left").select("key", "node", "chunks", "own", F.coalesce("component", "node").alias("component")))
+    sizes = known.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+    open_keys = cut(sizes.select("key", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / CHUNK).cast("int").alias("rests")).where("rests > 0"))
+    still = known.join(small(open_keys), "key")
+    against = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+    outside = still.where("component <> largest").withColumn("other", F.pmod(F.xxhash64("node", F.lit(1)), "rests").cast("int")).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    columns = ("key", "own", "other", "node")
+    between = spanned(against.select(*columns).unionByName(outside.select(*columns)))
+    return roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(between)
 
 
 def _spanning(fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,9 +252,10 @@ def _spanning(fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray,
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(rid, doc_id, component, kept) of rows (rid, doc_id, text); rid is any unique long."""
-    rows = cut(_fingerprints(docs, shingle))
+    bits = segment_bits(docs.count())
+    rows = cut(_fingerprints(docs, shingle, bits))
     nodes = cut(rows.groupBy("fp").agg(F.min("rid").alias("node"), F.any_value("low").alias("low")))
-    roots = connected_components(wide_links(nodes, similarity))
+    roots = connected_components(wide_links(nodes, bits, similarity))
     rooted = nodes.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     grouped = cut(rows.select("rid", "doc_id", "fp").join(rooted, "fp").select("rid", "doc_id", "component"))
     best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("component", F.col("best.rid").alias("best"))

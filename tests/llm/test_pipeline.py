@@ -42,9 +42,10 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
-def test_near_copies_one_stays(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,bits", [(8, 20), (2, 24)])
+def test_near_copies_one_stays(spark, monkeypatch, crowd, bits):
     monkeypatch.setattr(wide, "CROWD", crowd)
+    monkeypatch.setattr(wide, "segment_bits", lambda n: bits)
     monkeypatch.setattr(wide, "CHUNK", 3)
     rows, groups = corpus()
     kept = {r.doc_id for r in cp.near_copies(spark, documents(spark, rows), "").collect()}
