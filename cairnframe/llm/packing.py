@@ -42,19 +42,22 @@ OPEN_WINDOWS = 32
 SLACK = 4
 #: Windows that one task merges at most (8 KB of ids each).
 MERGE_WINDOWS = 2048
-CACHE_ENTRIES = 60_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 64
+#: Signs that close a word: one run of them is one word of the vocabulary's pattern (the apostrophe has rules of its own).
+SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class WordTokenizer:
-    """Ids by the ``tokenizers`` library, remembered per run of non-blank characters.
+    """Ids by the ``tokenizers`` library, remembered per run of letters.
 
-    The vocabulary's rules never look across a space or line feed: its pattern
-    drops white space, and lower-casing and composition treat characters on
-    both sides of it apart.
+    The vocabulary's rules never look across a space or line feed (its pattern drops white
+    space, and lower-casing and composition treat the characters on both sides apart), and a
+    run of letters before closing signs is cut from them.  So texts are cut there and every
+    distinct part is given to the library once.
     """
 
     def __init__(self, path: str):
@@ -62,23 +65,75 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {}
+        self.model = self.tokenizer.model
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # ids that end a word of the library's
+        ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends[ends] = True
+
+    def _ids(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _plain(self, word: str) -> bytes:
+        """Ids of a word of ASCII letters: normalised by lower-casing alone, it goes straight to the library's model."""
+        return np.array([t.id for t in self.model.tokenize(word.lower())], dtype="<u4").tobytes()
+
+    def _many(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: given to the library joined by spaces, cut where its words end."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(words):  # a letter that lower-casing turns into more than letters
+            return [self._ids(w) for w in words]
+        raw = ids.tobytes()
+        stops = stops.tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
         cache = self.cache
-        if len(cache) >= CACHE_ENTRIES:
-            cache.clear()
-        new = list({w for ws in words for w in ws if w not in cache})
-        known = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True)) if new else {}
-        cache.update((w, ids) for w, ids in known.items() if len(w) <= CACHE_CHARS)
+        if len(cache) > CACHE_ENTRIES:
+            # what is asked for again moves over from the older half, the rest goes with the next change
+            self.older, cache = cache, {}
+            self.cache = cache
+        older = self.older
+        new = set().union(*parts).difference(cache)
+        if older:
+            again = {p: older[p] for p in new if p in older}
+            cache.update(again)
+            new = new.difference(again)
+        known: dict[str, bytes] = {"": b""}
+        # "word," is "word" and ","
+        bare = ((p, p.rstrip(SIGNS)) for p in new)
+        cut_off = [(p, h, p[len(h) :]) for p, h in bare if len(h) < len(p) and h.isalpha()]
+        apart = {p for p, _, _ in cut_off}
+        heads = ({h for _, h, _ in cut_off} | {p for p in new if p.isalpha()}) - cache.keys()
+        alpha = []
+        for h in heads:
+            if not h.isascii():
+                alpha.append(h)
+            elif (ids := cache.get(h.lower())) is not None:
+                known[h] = ids
+            else:
+                known[h] = self._plain(h)
+        for i in range(0, len(alpha), 500):
+            some = alpha[i : i + 500]
+            known.update(zip(some, self._many(some), strict=True))
+        for p in new:
+            if p not in apart and p not in known:
+                known[p] = self._ids(p)
+        signs = {c: self._ids(c) for c in {c for _, _, c in cut_off}}
+        for p, h, c in cut_off:
+            known[p] = (known[h] if h in known else cache[h]) + signs[c]
+        long = {p: ids for p, ids in known.items() if len(p) > CACHE_CHARS}
+        cache.update((p, ids) for p, ids in known.items() if p not in long)
+        end = END_ID.to_bytes(4, "little")
         out = []
-        for ws in words:
-            ids: list[int] = []
-            for w in ws:
-                ids += cache[w] if w in cache else known[w]
-            ids.append(END_ID)
-            out.append(np.array(ids, dtype="<u4"))
+        for ps in parts:
+            ids = [long[p] if p in long else cache[p] for p in ps] if long else list(map(cache.__getitem__, ps))
+            ids.append(end)
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
 
