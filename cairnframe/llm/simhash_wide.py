@@ -56,14 +56,28 @@ def segment_bits(n: int) -> int:
     return min(28, max(20, math.ceil(math.log2(max(2, n))) + 2))
 
 
-def wide_simhash(text: str | None, shingle: int = SHINGLE, bits: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint as WORDS uint64, least certain bits of each segment as SEGMENTS x FLIPS places)."""
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, ascending; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(WORDS, "<u8"), np.tile(np.arange(FLIPS, dtype=np.uint8), (SEGMENTS, 1))
+        return np.zeros(0, "<u8")
     joined = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     hashed = xxhash.xxh64_intdigest
-    h = np.array([hashed(s, SEED) for s in joined], dtype="<u8")
+    return np.unique(np.array([hashed(s, SEED) for s in joined], dtype="<u8"))
+
+
+def wide_simhash(text: str | None, shingle: int = SHINGLE, bits: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint as WORDS uint64, least certain bits of each segment as SEGMENTS x FLIPS places).
+
+    Every distinct shingle votes once, however often it is repeated.
+    """
+    return set_simhash(shingle_set(text, shingle), bits)
+
+
+def set_simhash(h: np.ndarray, bits: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """``wide_simhash`` of a set of shingle hashes."""
+    if not len(h):
+        return np.zeros(WORDS, "<u8"), np.tile(np.arange(FLIPS, dtype=np.uint8), (SEGMENTS, 1))
     ones = np.zeros(64 * WORDS, dtype=np.int64)
     for i in range(0, len(h), _STEP):
         with np.errstate(over="ignore"):

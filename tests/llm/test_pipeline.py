@@ -149,3 +149,12 @@ def test_run_against_brute_force(spark, sf):
         assert zlib.crc32(bytes(p.ids)) == p.ids_crc32
         got.setdefault(p.doc_id, {})[p.start] = ids
     assert {d: [i for s in sorted(ps) for i in ps[s]] for d, ps in got.items()} == tokens
+
+
+def test_a_repeated_line_does_not_make_copies(spark):
+    rnd = random.Random(3)
+    line = " ".join(words(rnd, 12))
+    texts = ["\n".join([line] * 20 + [" ".join(words(rnd, 60))]) for _ in range(6)]
+    assert max(jaccard(a, b) for i, a in enumerate(texts) for b in texts[:i]) < 0.3
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    assert {r.doc_id for r in cp.near_copies(spark, documents(spark, rows), "").collect()} == set(range(6))
