@@ -8,19 +8,24 @@ variants in one of the ``FLIPS`` bits whose majority was closest (those are the
 bits in which near copies differ).  Two documents meet if their balls touch in
 any segment.
 
-Matches are dismissed by 64 bits carried in the index and verified by complete
+Matches are dismissed by 64 bits carried in the index and by complete
 distances.  Keys with more than ``CROWD`` members leave the first pass as they
 are: their fingerprints are fetched, the key is cut into chunks, and chunk
-pairs are compared in separate tasks that return a spanning set of verified
+pairs are compared in separate tasks that return a spanning set of candidate
 links.  No key emits all its pairs and no candidate is dropped.
 
-Equal fingerprints are one node.  Null texts count as empty; texts without
+Distances only find candidates.  What candidate links join is a group; within
+each group the sets of shingle hashes are compared, again in chunks, and only
+pairs whose Jaccard similarity reaches the asked one are links.
+
+Equal sets are one node.  Null texts count as empty; texts without
 words are equal; the kept document of a group is the one with the least doc_id
 (nulls last), of repeated rows one stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -41,7 +46,11 @@ SEGMENTS = 16
 FLIPS = 5
 CROWD = 8
 CHUNK = 1024
+#: Members of a group of candidates in a chunk: the least, and bytes of shingle hashes at most.
+SET_CHUNK = 128
+_SET_BYTES = 1 << 25
 _STEP = 4096
+_GATHER = 1 << 21
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, size=WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -111,25 +120,26 @@ def segment_keys(fp: np.ndarray, low: np.ndarray, bits: int = 20) -> np.ndarray:
 def _fingerprints(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_simhash(t.as_py(), shingle, bits) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f.tobytes() for f, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())],
-                names=["rid", "doc_id", "fp", "low"],
-            )
+            found = []
+            for t in batch.column(2):
+                h = shingle_set(t.as_py(), shingle)
+                found.append((hashlib.blake2b(h.tobytes(), digest_size=16).digest(), *(x.tobytes() for x in set_simhash(h, bits))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], pa.binary()) for k in range(3))], names=["rid", "doc_id", "digest", "fp", "low"])
 
-    return docs.select("rid", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "rid long, doc_id long, fp binary, low binary")
+    return docs.select("rid", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "rid long, doc_id long, digest binary, fp binary, low binary")
 
 
 def _same_key(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
     """Runs of rows (as numpy columns) that end where the leading ``columns`` columns change."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < 50_000:
+        size += batch.nbytes
+        if rows < 50_000 and size < _SET_BYTES:
             continue
         whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         change = np.zeros(whole.num_rows - 1, bool)
@@ -141,7 +151,7 @@ def _same_key(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[
             held = [whole.slice(at[-1] + 1)]
         else:
             held = [whole]
-        rows = held[0].num_rows
+        rows, size = held[0].num_rows, held[0].nbytes
     if held:
         whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         yield [x.to_numpy(zero_copy_only=False) for x in whole.columns]
@@ -156,7 +166,7 @@ def _edges(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) that join all near fingerprints (node, fp, low) with segments of ``bits`` bits."""
+    """Candidate links (a, b) that join all near fingerprints (node, fp, low) with segments of ``bits`` bits."""
     spark = nodes.sparkSession
     n = shuffle_partitions(spark)
     most = most_differing(similarity)
@@ -243,7 +253,7 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
 
 
 def _spanning(fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links that join everything within ``most`` bits in the rows: a breadth-first forest."""
+    """Links that join everything within ``most`` bits in the rows: a breadth-first forest."""
     left = np.arange(len(fp))
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
@@ -264,13 +274,100 @@ def _spanning(fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray,
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _alike(node: np.ndarray, group: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], similarity: float, most: int) -> tuple[list[int], list[int]]:
+    """Links that join all rows whose sets reach ``similarity``; rows of one ``group`` are joined already."""
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(flat) + 1, bool)
+    label = group.copy()
+    a: list[int] = []
+    b: list[int] = []
+    for k in range(len(sets) - 1):
+        rest = np.arange(k + 1, len(sets))
+        rest = rest[(label[k + 1 :] != label[k]) & (np.minimum(size[k], size[k + 1 :]) >= similarity * np.maximum(size[k], size[k + 1 :]) - 1e-9)]
+        rest = rest[(np.bitwise_count(fp[rest] ^ fp[k]).sum(axis=1) <= most) & (size[rest] > 0)]
+        if not len(rest):
+            continue
+        marked[flat[start[k] : start[k] + size[k]]] = True
+        step = max(1, _GATHER // int(size[rest].max()))
+        for c in range(0, len(rest), step):
+            some = rest[c : c + step]
+            first = np.cumsum(size[some]) - size[some]
+            at = np.repeat(start[some] - first, size[some]) + np.arange(size[some].sum())
+            common = np.add.reduceat(marked[flat[at]].astype(np.int64), first)
+            for j in some[common * (1 + similarity) >= similarity * (size[some] + size[k]) - 1e-9]:
+                if label[j] != label[k]:
+                    a.append(int(node[k]))
+                    b.append(int(node[j]))
+                    label[label == label[j]] = label[k]
+        marked[flat[start[k] : start[k] + size[k]]] = False
+    return a, b
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) between nodes of one group of ``candidates`` (node, component) whose shingle sets reach ``similarity``.
+
+    First inside the chunks of each group, then between chunks for what is not joined yet.
+    """
+    n = shuffle_partitions(docs.sparkSession)
+    most = most_differing(similarity)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 500):
+                b = batch.slice(s, 500)
+                sets = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(3)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], names=["key", "node", "fp", "grams"])
+
+    members = cut(nodes.join(candidates, "node").select(F.col("component").alias("key"), "node", "fp"))
+    texts = docs.select(F.col("rid").alias("node"), F.col("text").cast("string").alias("text")).join(small(members), "node")
+    sets = cut(texts.select("key", "node", "fp", "text").mapInArrow(grams, "key long, node long, fp binary, grams binary"))
+    rows = F.least(F.lit(CHUNK), F.greatest(F.lit(SET_CHUNK), F.sqrt(8 * F.count("*"))))
+    sizes = sets.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / rows, F.sum(F.length("grams")) / F.lit(_SET_BYTES))).cast("int").alias("chunks"))
+    sizes = cut(sizes.withColumn("chunks", F.greatest("chunks", F.lit(1))))
+    chunked = cut(sets.select("key", "node").join(small(sizes), "key").withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, own, other, node, group, fp, grams_ in _same_key(batches, 3):
+            a: list[int] = []
+            b: list[int] = []
+            for s, e in zip(*_edges(key, own, other)):
+                x = np.frombuffer(b"".join(fp[s:e]), "<u8").reshape(-1, WORDS)
+                found = _alike(node[s:e], group[s:e], x, [np.frombuffer(g, "<u8") for g in grams_[s:e]], similarity, most)
+                a += found[0]
+                b += found[1]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def compared(placed: DataFrame) -> DataFrame:
+        columns = ("key", "own", "other", "node", "group", "fp", "grams")
+        dealt = placed.join(sets.select("node", "fp", "grams"), "node").select(*columns).repartition(n, "key", "own", "other")
+        return dealt.sortWithinPartitions("key", "own", "other", "node").mapInArrow(compare, "a long, b long")
+
+    inside = compared(chunked.withColumn("other", F.lit(0)).withColumn("group", F.col("node")))
+    roots = cut(connected_components(inside))
+    known = cut(chunked.where("chunks > 1").join(roots, "node", "left").withColumn("group", F.coalesce("component", "node")).select("key", "node", "chunks", "own", "group"))
+    counts = known.groupBy("key", "chunks", "group").agg(F.count("*").alias("n")).groupBy("key", "chunks").agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("n"))
+    # members outside the largest class of a group against all others
+    rests = F.ceil((F.col("n") - F.col("most.n")) * F.col("chunks") / F.col("n")).cast("int")
+    open_keys = cut(counts.select("key", F.col("most.group").alias("largest"), rests.alias("rests")).where("rests > 0"))
+    still = known.join(small(open_keys), "key")
+    against = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+    outside = still.where("group <> largest").withColumn("other", F.pmod(F.xxhash64("node", F.lit(1)), "rests").cast("int"))
+    outside = outside.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    columns = ("key", "own", "other", "node", "group")
+    between = compared(against.select(*columns).unionByName(outside.select(*columns)).distinct())
+    return roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(between)
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(rid, doc_id, component, kept) of rows (rid, doc_id, text); rid is any unique long."""
     bits = segment_bits(docs.count())
     rows = cut(_fingerprints(docs, shingle, bits))
-    nodes = cut(rows.groupBy("fp").agg(F.min("rid").alias("node"), F.any_value("low").alias("low")))
-    roots = connected_components(wide_links(nodes, bits, similarity))
-    rooted = nodes.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    grouped = cut(rows.select("rid", "doc_id", "fp").join(rooted, "fp").select("rid", "doc_id", "component"))
+    nodes = cut(rows.groupBy("digest").agg(F.min("rid").alias("node"), F.any_value("fp").alias("fp"), F.any_value("low").alias("low")))
+    candidates = cut(connected_components(wide_links(nodes, bits, similarity)))
+    roots = connected_components(similar_links(docs, nodes, candidates, similarity, shingle))
+    rooted = nodes.join(roots, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    grouped = cut(rows.select("rid", "doc_id", "digest").join(rooted, "digest").select("rid", "doc_id", "component"))
     best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("component", F.col("best.rid").alias("best"))
     return grouped.join(best, "component").select("rid", "doc_id", "component", (F.col("rid") == F.col("best")).alias("kept"))

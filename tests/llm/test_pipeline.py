@@ -158,3 +158,42 @@ def test_a_repeated_line_does_not_make_copies(spark):
     assert max(jaccard(a, b) for i, a in enumerate(texts) for b in texts[:i]) < 0.3
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
     assert {r.doc_id for r in cp.near_copies(spark, documents(spark, rows), "").collect()} == set(range(6))
+
+
+def test_links_hold_the_similarity(spark):
+    """Texts at 0.70 to 0.79 are near in bits but no copies; those at 0.8 and more are, in a long chain of chunks too."""
+    rnd = random.Random(5)
+    rows, want = [], set()
+    for _ in range(30):
+        base = words(rnd, 400)
+        tail = words(rnd, 60)
+        rows += [(len(rows), " ".join(base), "en", "s", 1), (len(rows) + 1, " ".join(base[:-60] + tail), "en", "s", 1), (len(rows) + 2, " ".join(base[:-30] + tail[:30]), "en", "s", 1)][: 2 if rnd.random() < 0.5 else 3]
+    texts = {r[0]: r[1] for r in rows}
+    near = [(a, b) for a in texts for b in texts if a < b < a + 3 and jaccard(texts[a], texts[b]) >= 0.8]
+    root = {d: d for d in texts}
+    for a, b in near:
+        x, y = root[a], root[b]
+        root = {d: min(x, y) if r in (x, y) else r for d, r in root.items()}
+    want = {d for d, r in root.items() if r == d}
+    assert 0 < len(near) and len(want) > 30
+    assert {r.doc_id for r in cp.near_copies(spark, documents(spark, rows), "").collect()} == want
+
+
+@pytest.mark.parametrize("chunk", [4, 128])
+def test_similar_sets_in_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(wide, "SET_CHUNK", chunk)
+    monkeypatch.setattr(wide, "CHUNK", chunk)
+    rnd = random.Random(8)
+    a, b = words(rnd, 300), words(rnd, 30)
+    other = a[:-30] + b  # about 0.8 to a
+    rows = [(i, " ".join([*(a if i < 20 else other)[: 300 - i % 3], f"n{i}"]), "en", "s", 1) for i in range(40)]
+    texts = [r[1] for r in rows]
+    root = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r.component for r in wide.near_groups(docs.select(docs.doc_id.alias("rid"), "doc_id", "text")).collect()}
+    assert got == dict(enumerate(root))
