@@ -55,14 +55,14 @@ _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, size=WORDS, dtype=np
 
 
 def most_differing(similarity: float = SIMILARITY, bits: int = 64 * WORDS) -> int:
-    """Bits in which two fingerprints may differ: what ``similarity`` gives on average and two standard errors."""
+    """Bits in which candidates may differ: what ``similarity`` gives on average and four standard errors."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
 
-def segment_bits(n: int) -> int:
-    """Bits of a segment for n fingerprints: keys stay about as full at any size. The last word takes no part in keys."""
-    return min(28, max(20, math.ceil(math.log2(max(2, n))) + 2))
+def segment_bits(n: int | None = None) -> int:
+    """Bits of a segment, the same for any number n of fingerprints. The last word takes no part in keys."""
+    return 28
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -170,9 +170,9 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
     spark = nodes.sparkSession
     n = shuffle_partitions(spark)
     most = most_differing(similarity)
-    p = most / (64 * WORDS)
-    # the last word decides first; a pair at the outermost distance passes but for a chance of 2e-4
-    most_of_64 = math.ceil(64 * p + 3.5 * math.sqrt(64 * p * (1 - p)))
+    # the last word decides first, with five standard errors
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most_of_64 = math.ceil(64 * p + 5 * math.sqrt(64 * p * (1 - p)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,7 +362,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, simi
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(rid, doc_id, component, kept) of rows (rid, doc_id, text); rid is any unique long."""
-    bits = segment_bits(docs.count())
+    bits = segment_bits(None)
     rows = cut(_fingerprints(docs, shingle, bits))
     nodes = cut(rows.groupBy("digest").agg(F.min("rid").alias("node"), F.any_value("fp").alias("fp"), F.any_value("low").alias("low")))
     candidates = cut(connected_components(wide_links(nodes, bits, similarity)))

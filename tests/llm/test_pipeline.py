@@ -197,3 +197,17 @@ def test_similar_sets_in_chunks(spark, monkeypatch, chunk):
     docs = documents(spark, rows)
     got = {r.doc_id: r.component for r in wide.near_groups(docs.select(docs.doc_id.alias("rid"), "doc_id", "text")).collect()}
     assert got == dict(enumerate(root))
+
+
+def test_candidates_at_the_asked_similarity():
+    """Pairs of sets at 0.80 meet in the index and pass both distances, with the same layout at any size."""
+    assert len({wide.segment_bits(n) for n in (10, 10**6, 10**9)}) == 1
+    rng = np.random.default_rng(4)
+    bits = wide.segment_bits(10)
+    found = 0
+    for _ in range(400):
+        h = rng.integers(0, 2**63, size=444, dtype=np.uint64)
+        (x, low_x), (y, low_y) = wide.set_simhash(h[:400], bits), wide.set_simhash(np.concatenate([h[:356], h[400:]]), bits)
+        met = np.intersect1d(wide.segment_keys(x[None], low_x[None], bits), wide.segment_keys(y[None], low_y[None], bits))
+        found += bool(len(met)) and np.bitwise_count(x ^ y).sum() <= wide.most_differing()
+    assert found >= 0.99 * 400
