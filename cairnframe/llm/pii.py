@@ -48,6 +48,18 @@ _PATTERNS = [
     ("phone", re.compile(r"(?<![\dA-Za-z+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\dA-Za-z])")),
 ]
 _HAS = re.compile(r"[0-9@]").search
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {
+    c: int(n)
+    for c, n in (
+        x.split(":")
+        for x in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30".split()
+    )
+}
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?= ?[A-Z0-9])")
+_CARD_RUN = re.compile(r"(?<![\dA-Za-z])\d+(?:[ -]\d+)*")
+#: Groups of digits as cards are written; other windows of groups come after these.
+_CARD_SHAPES = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3])
 
 
 def _digits(s: str) -> str:
@@ -72,6 +84,49 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def _card_windows(text: str) -> Iterator[tuple[int, int]]:
+    """Where card numbers may stand: windows of digit groups in every run of them, usual shapes first, then the longest."""
+    for run in _CARD_RUN.finditer(text):
+        if sum(c.isdigit() for c in run[0]) < 13:
+            continue
+        groups = [m.span() for m in re.finditer(r"\d+", run[0])]
+        found = []
+        for a in range(len(groups)):
+            if a == 0 and text[run.start() - 1 : run.start()] in (".", "+", "-"):
+                continue
+            n = 0
+            for b in range(a, len(groups)):
+                n += groups[b][1] - groups[b][0]
+                i, j = run.start() + groups[a][0], run.start() + groups[b][1]
+                if n > 19:
+                    break
+                if n >= 13 and not (text[j : j + 1].isascii() and text[j : j + 1].isalpha()):
+                    shape = [y - x for x, y in groups[a : b + 1]]
+                    usual = a == b or shape in _CARD_SHAPES
+                    # rows of short numbers hold a valid window by chance too often
+                    if usual or a == 0 or min(shape) >= 4:
+                        found.append((not usual, -n, i, j))
+        yield from ((i, j) for *_, i, j in sorted(found))
+
+
+def _iban_windows(text: str) -> Iterator[tuple[int, int]]:
+    """Where IBANs may stand: of their country's length, or for other countries up to any end of a group, the longest first."""
+    for m in _IBAN_START.finditer(text):
+        length, n, ends = _IBAN_LENGTHS.get(m[0][:2]), 0, []
+        for k in range(m.start(), len(text)):
+            c = text[k]
+            if "A" <= c <= "Z" or "0" <= c <= "9":
+                n += 1
+                behind = text[k + 1 : k + 2]
+                if n > (length or 34):
+                    break
+                if n >= (length or 15) and not (behind.isascii() and behind.isalnum()):
+                    ends.append(k + 1)
+            elif c != " " or text[k - 1] == " ":
+                break
+        yield from ((m.start(), e) for e in reversed(ends))
+
+
 class PiiCipher:
     """Keyed bijections within the formats of ``KINDS``."""
 
@@ -201,19 +256,17 @@ class PiiCipher:
             if kind == "email" and "@" not in text:
                 continue
             act = getattr(self, kind)
-            for m in pattern.finditer(text):
+            for m in pattern.finditer(text) if kind not in ("card", "iban") else ():
                 i, j = m.span()
                 if any(i < e and j > s for s, e, _, _ in taken):
                     continue
                 new = act(m[0], back)
-                if new is None and kind == "card":
-                    # digits behind a card number may have been taken for its end
-                    for cut_at in reversed([k for k, c in enumerate(m[0]) if c in " -"]):
-                        if len(_digits(m[0][:cut_at])) >= 13 and (new := act(m[0][:cut_at], back)) is not None:
-                            j = i + cut_at
-                            break
                 if new is not None:
                     taken.append((i, j, kind, new))
+            if kind in ("card", "iban"):
+                for i, j in _card_windows(text) if kind == "card" else _iban_windows(text):
+                    if not any(i < e and j > s for s, e, _, _ in taken) and (new := act(text[i:j], back)) is not None:
+                        taken.append((i, j, kind, new))
         taken.sort()
         out, at = [], 0
         for i, j, _, new in taken:

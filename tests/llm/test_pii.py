@@ -61,3 +61,13 @@ def test_table(spark, sf, tmp_path):
     odd = pii.op4_pii(spark, saved(clashing(documents(spark)), tmp_path)).collect()
     assert len(odd) == 9 and {r.doc_id: r.text for r in odd}[1] is None
     assert pii.pseudonymise(documents(spark, []), b"k").collect() == []
+
+
+def test_cards_and_ibans_beside_other_words():
+    cards = ("2024-01-15 4111 1111 1111 1111", "Order 12 4111 1111 1111 1111", "12 4111111111111111", "2024-03-07 5555-5555-5555-4444", "7 12 4111 1111 1111 1111 99")
+    ibans = ("BE68 5390 0754 7034 USD", "ES91 2100 0418 4502 0005 1332 PAID", "ES9121000418450200051332 EUR", "AB12 BE68 5390 0754 7034")
+    for kind, texts in (("card", cards), ("iban", ibans)):
+        for t in texts:
+            new, spans = C.replace(t)
+            assert kind in [k for *_, k in spans], t
+            assert C.reveal(new) == t
