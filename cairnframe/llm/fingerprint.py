@@ -11,7 +11,8 @@ fingerprint.  Likeness is the share of sampled positions on which two
 fingerprints agree.
 
 ``band_keys`` groups sampled positions by their hash into bands for candidate
-search; ``near_documents`` links candidates whose likeness is verified.
+search; ``near_documents`` links candidates whose likeness is verified.  The
+query itself compares neighbours only and uses neither.
 
 Walks run side by side in numpy, one lane per text, ordered by length; the few
 longest texts of a batch finish in a plain loop.  The functions repeat with a
@@ -30,11 +31,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnframe.llm.common import connected_components, cut, shuffle_partitions, table
@@ -44,6 +46,8 @@ PERIOD = 8192
 SEED = 20_240_607
 BANDS = 24
 LIKENESS = 0.8
+#: Fingerprints of a band key in a chunk.
+CHUNK = 64
 _LANES = 64
 _GROUP_CHARS = 2_000_000
 
@@ -187,12 +191,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
+def band_links(banded: DataFrame, least: float = LIKENESS, chunk: int = CHUNK) -> DataFrame:
+    """Verified links (a, b) that join all rows (node, fingerprint, key) of a key whose likeness reaches ``least``.
+
+    A key is cut into chunks; every pair of chunks is compared in full by a task of its own, which
+    returns a spanning forest of its links.
+    """
+    n = shuffle_partitions(banded.sparkSession)
+    banded = cut(banded.select("key", "node", "fingerprint"))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    own = banded.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = own.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "fingerprint")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        for _, group in itertools.groupby(rows(), key=lambda r: r[:3]):
+            members = [(r[3], parse(r[4])) for r in group]
+            label = list(range(len(members)))
+            out: list[tuple[int, int]] = []
+            for i, (a, x) in enumerate(members):
+                for j in range(i):
+                    if label[i] != label[j] and likeness(x, members[j][1]) >= least:
+                        out.append((a, members[j][0]))
+                        gone = label[i]
+                        label = [label[j] if k == gone else k for k in label]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return placed.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "node").mapInArrow(verify, "a long, b long")
+
+
 def near_documents(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """(doc_id, component_id): documents joined by bands in common and verified likeness.
 
-    Equal fingerprints are one node.  Within a band key every fingerprint is held against the
-    key's first and against its predecessor, so a key shared by any number of documents gives
-    two comparisons for each of them.
+    Equal fingerprints are one node.
     """
     fps = cut(fingerprints(docs).select("doc_id", "fingerprint"))
     nodes = cut(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("low_id")).withColumn("node", F.xxhash64("fingerprint")))
@@ -203,17 +238,7 @@ def near_documents(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(k, pa.list_(pa.int64()))], names=["node", "fingerprint", "keys"])
 
     banded = nodes.select("node", "fingerprint").mapInArrow(keys, "node long, fingerprint string, keys array<long>").select("node", "fingerprint", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key").orderBy("fingerprint")
-    pairs = banded.select("node", "fingerprint", F.first(F.struct("node", "fingerprint")).over(w).alias("x"), F.lag(F.struct("node", "fingerprint")).over(w).alias("y"))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa"), F.explode(F.array("x", "y")).alias("o")).where("o is not null and o.node <> a")
-    pairs = pairs.select("a", "fa", F.col("o.node").alias("b"), F.col("o.fingerprint").alias("fb")).distinct()
-
-    def verify(batches):
-        for batch in batches:
-            x = pa.array([likeness(parse(a.as_py()), parse(b.as_py())) for a, b in zip(batch.column(1), batch.column(3))], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], names=["a", "b", "x"])
-
-    links = pairs.mapInArrow(verify, "a long, b long, x double").where(F.col("x") >= least)
+    links = band_links(banded, least)
     rooted = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
     named = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
     return fps.join(rooted.join(named, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "component_id")

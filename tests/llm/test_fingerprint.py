@@ -85,3 +85,12 @@ def test_near_documents(spark):
     got = {r.doc_id: r.component_id for r in fpm.near_documents(documents(spark, rows)).collect()}
     assert {got[d] for d in (4, 10, 20, 21, 22, 23, 24)} == {4}
     assert all(got[50 + i] == 50 + i for i in range(5))
+
+
+def test_all_pairs_of_a_band_key(spark):
+    """Near to each other, but neither to the key's first nor to a predecessor in string order."""
+    fps = ["00" * 32, "11" * 32, "80" * 32, "ff" * 6 + "11" * 26]
+    rows = [(i, f"20:{x}", 7) for i, x in enumerate(fps)]
+    for chunk in (1, 64):
+        links = fpm.band_links(spark.createDataFrame(rows, "node long, fingerprint string, key long"), chunk=chunk).collect()
+        assert {tuple(sorted(r)) for r in links} == {(1, 3)}
