@@ -20,6 +20,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import os
 import zlib
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,22 +44,28 @@ OPEN_WINDOWS = 32
 SLACK = 4
 #: Windows that one task merges at most (8 KB of ids each).
 MERGE_WINDOWS = 2048
-CACHE_ENTRIES = 400_000
+#: Distinct parts in each half of a worker's memory; they change speed only.
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 64
+SLICE_CHARS = 2_000_000
 #: Signs that close a word: one run of them is one word of the vocabulary's pattern (the apostrophe has rules of its own).
-SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class WordTokenizer:
-    """Ids by the ``tokenizers`` library, remembered per run of letters.
+    """Ids by the ``tokenizers`` library, remembered per part between spaces.
 
     The vocabulary's rules never look across a space or line feed (its pattern drops white
-    space, and lower-casing and composition treat the characters on both sides apart), and a
-    run of letters before closing signs is cut from them.  So texts are cut there and every
-    distinct part is given to the library once.
+    space, and composition treats the characters on both sides apart).  So texts are cut there,
+    the parts of many texts are numbered by Arrow, and every distinct part is looked up once and
+    given to the library once.  A run of letters before closing signs is cut from them, unless
+    lower-casing ends it in something that is no letter and so would join the signs.
+
+    ASCII letters are lower-cased before the cut: the library does so itself behind composition,
+    and without combining marks in the text the order of the two makes no difference.
     """
 
     def __init__(self, path: str):
@@ -66,8 +74,8 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # ids that end a word of the library's
         ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
@@ -76,9 +84,9 @@ class WordTokenizer:
     def _ids(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _plain(self, word: str) -> bytes:
+    def _plain(self, word: bytes) -> bytes:
         """Ids of a word of ASCII letters: normalised by lower-casing alone, it goes straight to the library's model."""
-        return np.array([t.id for t in self.model.tokenize(word.lower())], dtype="<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.lower().decode())])
 
     def _many(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only: given to the library joined by spaces, cut where its words end."""
@@ -90,51 +98,107 @@ class WordTokenizer:
         stops = stops.tolist()
         return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+    def _learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts that are not remembered."""
+        known: dict[bytes, bytes] = {}
+        split: list[tuple[bytes, bytes, bytes]] = []
+        letters: list[tuple[bytes, str]] = []
+        heads: dict[bytes, bytes] = {}
+        signs: dict[bytes, bytes] = {}
+        for p in parts:
+            h = p.rstrip(SIGNS)
+            if len(h) == len(p):
+                if p.isalpha():
+                    known[p] = self._plain(p)
+                    continue
+            elif h.isalpha():
+                ids = heads.get(h) or self.cache.get(h)
+                if ids is None:
+                    ids = heads[h] = self._plain(h)
+                c = p[len(h) :]
+                if c not in signs:
+                    signs[c] = self._ids(c.decode())
+                known[p] = ids + signs[c]
+                continue
+            word = h.decode()
+            if word.isalpha() and word.lower().isalpha():
+                letters.append((h, word))
+                if len(h) < len(p):
+                    split.append((p, h, p[len(h) :]))
+            else:
+                known[p] = self._ids(p.decode())
+        for i in range(0, len(letters), 500):
+            some = letters[i : i + 500]
+            heads.update(zip((h for h, _ in some), self._many([w for _, w in some]), strict=True))
+        apart = {p for p, _, _ in split}
+        for p, h, c in split:
+            if c not in signs:
+                signs[c] = self._ids(c.decode())
+            known[p] = heads[h] + signs[c]
+        known.update((h, heads[h]) for h, _ in letters if h not in apart)
+        return known
+
+    def _lookup(self, parts: list[bytes]) -> list[bytes]:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             # what is asked for again moves over from the older half, the rest goes with the next change
-            self.older, cache = cache, {}
-            self.cache = cache
-        older = self.older
-        new = set().union(*parts).difference(cache)
-        if older:
-            again = {p: older[p] for p in new if p in older}
-            cache.update(again)
-            new = new.difference(again)
-        known: dict[str, bytes] = {"": b""}
-        # "word," is "word" and ","
-        bare = ((p, p.rstrip(SIGNS)) for p in new)
-        cut_off = [(p, h, p[len(h) :]) for p, h in bare if len(h) < len(p) and h.isalpha()]
-        apart = {p for p, _, _ in cut_off}
-        heads = ({h for _, h, _ in cut_off} | {p for p in new if p.isalpha()}) - cache.keys()
-        alpha = []
-        for h in heads:
-            if not h.isascii():
-                alpha.append(h)
-            elif (ids := cache.get(h.lower())) is not None:
-                known[h] = ids
-            else:
-                known[h] = self._plain(h)
-        for i in range(0, len(alpha), 500):
-            some = alpha[i : i + 500]
-            known.update(zip(some, self._many(some), strict=True))
-        for p in new:
-            if p not in apart and p not in known:
-                known[p] = self._ids(p)
-        signs = {c: self._ids(c) for c in {c for _, _, c in cut_off}}
-        for p, h, c in cut_off:
-            known[p] = (known[h] if h in known else cache[h]) + signs[c]
-        long = {p: ids for p, ids in known.items() if len(p) > CACHE_CHARS}
-        cache.update((p, ids) for p, ids in known.items() if p not in long)
-        end = END_ID.to_bytes(4, "little")
-        out = []
-        for ps in parts:
-            ids = [long[p] if p in long else cache[p] for p in ps] if long else list(map(cache.__getitem__, ps))
-            ids.append(end)
-            out.append(np.frombuffer(b"".join(ids), "<u4"))
-        return out
+            self.older, self.cache = cache, {}
+            cache = self.cache
+        found = list(map(cache.get, parts))
+        missing = [p for p, ids in zip(parts, found) if ids is None]
+        if missing:
+            older = self.older
+            again = {p: older[p] for p in missing if p in older} if older else {}
+            known = self._learn([p for p in missing if p not in again]) | again
+            cache.update((p, ids) for p, ids in known.items() if len(p) <= CACHE_CHARS)
+            found = [known[p] if ids is None else ids for p, ids in zip(parts, found)]
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text with the end id behind them."""
+        if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
+            return [self._long(texts[0])]
+        flat = []
+        for t in texts:
+            raw = t.encode()
+            # no combining mark (their first bytes) and no special token: letters may be lower-cased here
+            if t.isascii() or (b"\xcc" not in raw and b"\xcd" not in raw):
+                raw = raw.lower() if b"<|" not in raw else raw
+            flat.append(raw.replace(b"\n", b" "))
+        split = pc.split_pattern(pa.array(flat, pa.binary()), " ")
+        off = split.offsets.to_numpy().astype(np.int64)
+        numbered = split.values.dictionary_encode()
+        blobs = self._lookup(numbered.dictionary.to_pylist())
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        store = np.frombuffer(b"".join(blobs), "<u4")
+        part = numbered.indices.to_numpy()
+        length = size[part]
+        before = np.concatenate([[0], np.cumsum(length)])
+        at = np.repeat((np.cumsum(size) - size)[part] - before[:-1], length)
+        at += np.arange(len(at))
+        stop = before[off[1:]] + np.arange(len(texts))  # where each text's end id goes
+        out = np.empty(len(at) + len(texts), "<u4")
+        own = np.ones(len(out), bool)
+        own[stop] = False
+        out[own] = store[at]
+        out[stop] = END_ID
+        stop = (stop + 1).tolist()
+        return [out[a:b] for a, b in zip([0, *stop], stop)]
+
+    def _long(self, text: str) -> np.ndarray:
+        """One text too long for a slice, cut at spaces or line feeds."""
+        out, at = [], 0
+        while at < len(text):
+            stop = at + SLICE_CHARS
+            if stop < len(text):
+                back = max(text.rfind(" ", at, stop), text.rfind("\n", at, stop))
+                ahead = [k for k in (text.find(" ", stop), text.find("\n", stop)) if k >= 0]
+                stop = back if back > at else min(ahead, default=len(text))
+            piece = text[at:stop]
+            out.append(self.encode([piece])[0][:-1] if len(piece) <= SLICE_CHARS else np.frombuffer(self._ids(piece), "<u4"))
+            at = stop + 1
+        out.append(np.array([END_ID], "<u4"))
+        return np.concatenate(out)
 
 
 @functools.lru_cache(maxsize=2)
@@ -143,7 +207,7 @@ def _tokenizer(path: str | None) -> WordTokenizer:
 
 
 class OpenWindows:
-    """A fixed number of open windows; ``emit`` takes finished ones as lists of (doc_id, start, ids, doc_tokens)."""
+    """A fixed number of open windows, least free room first; ``emit`` takes finished ones as lists of (doc_id, start, ids, doc_tokens)."""
 
     def __init__(self, emit, size: int = WINDOW, most: int = OPEN_WINDOWS, slack: int = SLACK):
         self.emit, self.size, self.most, self.slack = emit, size, most, slack
@@ -152,34 +216,32 @@ class OpenWindows:
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         total, at, size = len(ids), 0, self.size
+        free, held = self.free, self.held
         while total - at >= size:
             self.emit([(doc_id, at, ids[at : at + size], total)])
             at += size
         while at < total:
             need = total - at
-            best = -1
-            for k, room in enumerate(self.free):
-                if room >= need and (best < 0 or room < self.free[best]):
-                    best = k
-            if best < 0 and len(self.free) < self.most:
-                best = len(self.free)
-                self.free.append(size)
-                self.held.append([])
-            if best < 0:
-                fullest = min(range(len(self.free)), key=self.free.__getitem__)
-                room = self.free[fullest]
+            best = bisect.bisect_left(free, need)  # the window that the rest fills best
+            if best < len(free):
+                room, pieces = free.pop(best), held.pop(best)
+            elif len(free) < self.most:
+                room, pieces = size, []
+            else:
+                room, pieces = free.pop(0), held.pop(0)
                 if room > self.slack:
-                    self.held[fullest].append((doc_id, at, ids[at : at + room], total))
+                    pieces.append((doc_id, at, ids[at : at + room], total))
                     at += room
-                self.emit(self.held[fullest])
-                self.free[fullest], self.held[fullest] = size, []
+                self.emit(pieces)
                 continue
-            self.held[best].append((doc_id, at, ids[at:], total))
-            self.free[best] -= need
+            pieces.append((doc_id, at, ids[at:].copy(), total))  # not a view: the texts' ids need not stay for it
             at = total
-            if self.free[best] == 0:
-                self.emit(self.held[best])
-                del self.free[best], self.held[best]
+            if room == need:
+                self.emit(pieces)
+            else:
+                k = bisect.bisect_left(free, room - need)
+                free.insert(k, room - need)
+                held.insert(k, pieces)
 
     def leftovers(self) -> list[list]:
         return [w for w in self.held if w]
@@ -215,7 +277,7 @@ def pack(docs: DataFrame, path: str | None = None, keep_ids: bool = False, windo
         windows = OpenWindows(emit, window)
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
-            for first, texts in text_slices((t.as_py() for t in batch.column(1)), 1_000_000):
+            for first, texts in text_slices((t.as_py() for t in batch.column(1)), SLICE_CHARS):
                 for doc_id, ids in zip(ids_of[first:], tokenizer.encode(texts)):
                     windows.add(doc_id, ids)
                     if len(done) >= 4096:

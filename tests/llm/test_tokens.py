@@ -117,3 +117,46 @@ def test_open_windows_stay_bounded():
         w.add(i, np.arange(rnd.randrange(1, 150), dtype="<u4"))
         assert len(w.held) <= 4
     assert all(sum(len(p[2]) for p in x) >= 64 - packing.SLACK for x in done)
+
+
+SIGNED = [*"abcXYZJjKİIıßẞſﬁǰÅÅKΣσςäÖÜéÉ'.,;:!?-_/<|>()0123 \n\t\r ́̌̇̀ͅ​漢字かが゙한글ᄒ🙂", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", " ", " ", "\n", "ŉ", "Ǆ", "İ,", "J̌", "H̱"]
+
+
+def test_tokens_with_marks_and_signs():
+    """Texts of combining marks, letters that change when lower-cased, and signs, against the library."""
+    t = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(SIGNED) for _ in range(rnd.randint(0, 14))) for _ in range(20_000)]
+    tokenizer = packing.WordTokenizer(P.path(packing.VOCABULARY))
+    for i in range(0, len(texts), 1000):
+        for a, b in zip(tokenizer.encode(texts[i : i + 1000]), texts[i : i + 1000], strict=True):
+            assert a.tolist() == t.encode(b, add_special_tokens=False).ids + [1], repr(b)
+
+
+def test_long_texts_are_cut_at_spaces(monkeypatch):
+    t = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    monkeypatch.setattr(packing, "SLICE_CHARS", 50)
+    rnd = random.Random(6)
+    tokenizer = packing.WordTokenizer(P.path(packing.VOCABULARY))
+    for text in ["one two, " * 300, "x" * 400, " " * 200, "é\n" * 120, "y" * 49 + " " + "z" * 200 + "\n, end", *("".join(rnd.choice(SIGNED) for _ in range(700)) for _ in range(50))]:
+        assert tokenizer.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_remembered_parts_change_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 5)
+    tokenizer, fresh = packing.WordTokenizer(P.path(packing.VOCABULARY)), packing.WordTokenizer(P.path(packing.VOCABULARY))
+    rnd = random.Random(7)
+    for _ in range(200):
+        text = " ".join(rnd.choice(["alpha", "Beta,", "gamma.", "İ,", "12", "delta", "ä!", "x" * 80]) for _ in range(8))
+        fresh.cache.clear()
+        fresh.older.clear()
+        assert tokenizer.encode([text])[0].tolist() == fresh.encode([text])[0].tolist()
+
+
+def test_bpe_of_texts_beyond_a_slice(spark, tik, monkeypatch):
+    """Slices of a batch and one text that is longer than a slice give what the library gives."""
+    codec = bpe.ByteBpe(P.path(bpe.VOCABULARY), P.PATTERN)
+    texts = ["short one", "many words of a longer text " * 60_000, "a" * 300_000, None, "é漢🙂 " * 20_000]
+    for _, some in bpe.text_slices(texts, bpe.SLICE_CHARS):
+        for t, ids in zip(some, codec.encode_batch(some), strict=True):
+            assert ids == tik.encode_ordinary(t)
