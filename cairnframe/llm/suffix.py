@@ -15,12 +15,14 @@ equal strings are sure to stay together:
 2. Under an anchor, blocks are sorted by content hash: the upper levels of the
    tree.  An interval of equal blocks is a repeat group of the whole block; all
    its occurrences but the earliest are repeats.  Copies of a block within one
-   task are settled before the shuffle, so a passage that a third of all
-   documents hold sends one block per task, not one per document.
+   slice of a task, and copies of what the task sent for earlier slices, are
+   settled before the shuffle, so a passage that a third of all documents hold
+   sends about one block per task, not one per document or slice.
 3. Anchors under which blocks differ need the lower levels: the bytes of one
    block per content are fetched and ``maximal_repeats`` is run on them.  Under
-   an anchor with more than ``CROWDED`` contents, blocks are cut into pieces
-   with their own longer anchors first and equal pieces of a task are settled.
+   an anchor with more than ``BUSY`` contents, blocks are cut into pieces with
+   their own longer anchors first and equal pieces of a task are settled; beyond
+   ``CROWDED`` contents the pieces are smaller and their anchors longer.
 
 Each byte of an occurrence that is not its group's earliest is removed; the
 union over all groups is exactly the bytes covered by a string of ``LENGTH``
@@ -47,10 +49,13 @@ from cairnframe.llm.common import cut, shuffle_partitions, table
 
 LENGTH = 100
 ANCHOR = 28
-CROWDED = 8000
-PIECE = 4
+#: Contents of an anchor beyond which its blocks are cut into pieces of so many windows.
+BUSY, BUSY_PIECE = 256, 37
+CROWDED, PIECE = 8000, 4
+#: Entries of earlier slices that a task remembers, twice.
+KEPT = 200_000
 _SUB = 16  # sub-buckets of a partition that are held one at a time
-_SLICE = 6_000_000
+_SLICE = 4_000_000  # bytes
 _TABLE = np.random.default_rng(41).integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -84,9 +89,20 @@ class Hasher:
         n = len(data)
         with np.errstate(over="ignore"):
             self.sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_TABLE[data] * _powers(_BASE, n), out=self.sums[1:])
+            terms = _powers(_BASE, n)[:n]
+            terms *= _TABLE[data]
+            np.cumsum(terms, out=self.sums[1:])
         self.back = _powers(_INVERSE, n + 1)
 
+    def of_all(self, width: int, step: int = 1 << 18) -> np.ndarray:
+        """Hashes of all substrings of ``width`` bytes, made in bounded steps."""
+        n = len(self.sums) - width
+        out = np.empty(n, dtype=np.uint64)
+        for a in range(0, n, step):
+            p = np.arange(a, min(n, a + step))
+            out[a : a + step] = self.of(p, p + width)
+        return out
+
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return _mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -100,9 +116,9 @@ def blocks(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int
     if n < length:
         return none
     h = Hasher(data)
-    p = np.arange(n - anchor + 1)
-    hashes = h.of(p, p + anchor)
-    least = (hashes & ~np.uint64(0xFFFFFF)) | p.astype(np.uint64)  # ties go to the left
+    hashes = h.of_all(anchor)
+    least = hashes & ~np.uint64(0xFFFFFF)
+    least |= np.arange(len(hashes), dtype=np.uint64)  # ties go to the left
     span, want = 1, length - anchor + 1
     while 2 * span <= want:
         least = np.minimum(least[:-span], least[span:])
@@ -180,10 +196,13 @@ def maximal_repeats(strings: list[bytes], least: int = LENGTH) -> Iterator[tuple
     rest = size[owner] - offset
     width = int(rest.max())
     padded = np.concatenate([data, np.zeros(width, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
-    rows[np.arange(width) >= rest[:, None]] = 0
-    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
-    rows, owner, offset, rest, start = rows[order], owner[order], offset[order], rest[order], start[order]
+    # the length, most significant byte first, stands behind the bytes: of suffixes that differ in NULs at the end only, the shorter goes first
+    rows = np.empty((len(start), width + 4), np.uint8)
+    rows[:, :width] = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
+    rows[:, :width][np.arange(width) >= rest[:, None]] = 0
+    rows[:, width:] = rest.astype(">u4").view(np.uint8).reshape(-1, 4)
+    order = np.argsort(rows.view(f"S{width + 4}").ravel(), kind="stable")
+    rows, owner, offset, rest, start = rows[order, :width], owner[order], offset[order], rest[order], start[order]
     differ = rows[1:] != rows[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     common = np.concatenate([[0], np.minimum(common, np.minimum(rest[1:], rest[:-1]))])
@@ -207,41 +226,58 @@ def _later_copies(e: np.ndarray, *names: str) -> tuple[np.ndarray, np.ndarray]:
     return e[first], e[~first]
 
 
-def _slices(batch: pa.RecordBatch, at: int) -> Iterator[tuple[slice, list[bytes]]]:
-    """Runs of rows with about ``_SLICE`` bytes of text."""
-    raw = [(t.as_py() or "").encode() for t in batch.column(at)]
-    i = 0
-    while i < len(raw):
-        j, size = i, 0
-        while j < len(raw) and (j == i or size + len(raw[j]) <= _SLICE):
-            size += len(raw[j])
-            j += 1
-        yield slice(i, j), raw[i:j]
-        i = j
-
-
-def _windows(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """A text in overlapping parts of bounded size: (first byte, part); every window lies in one part."""
-    step = 8_000_000
-    data = np.frombuffer(raw, np.uint8)
-    for at in range(0, max(1, len(data) - LENGTH + 1), step):
-        yield at, data[at : at + step + LENGTH - 1]
-
-
-def _entries(uids: list[int], raws: list[bytes]) -> np.ndarray:
-    out = []
-    if len(raws) == 1 and len(raws[0]) > _SLICE:
-        for at, data in _windows(raws[0]):
-            found = blocks(data, np.array([len(data)]))
-            out.append(_filled(found, np.full(len(found[0]), uids[0]), np.full(len(found[0]), -at)))
-    else:
-        data = np.frombuffer(b"".join(raws), np.uint8)
-        ends = np.cumsum([len(r) for r in raws])
-        found = blocks(data, ends)
-        doc = np.searchsorted(ends, found[0], side="right")
-        begin = np.concatenate([[0], ends])[doc]
-        out.append(_filled(found, np.array(uids, dtype=np.int64)[doc], begin))
-    return np.concatenate(out)
+def _unsent(e: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries to send, repeats of what the task sent before, what to keep of both for its next slices).
+
+    ``e`` and ``kept`` hold each content once.  An entry goes out if the task sent no earlier one with
+    its content, so a passage that all documents hold leaves a task once (and once more for each
+    earlier occurrence that comes later).  What is kept is bounded: forgetting sends an entry again.
+    """
+    both = np.concatenate([kept, e])
+    order = np.lexsort((both["start"], both["uid"], both["content"], both["anchor"]))
+    both, mine = both[order], order >= len(kept)
+    second = np.flatnonzero((both["anchor"][1:] == both["anchor"][:-1]) & (both["content"][1:] == both["content"][:-1])) + 1
+    alone = np.ones(len(both), bool)
+    alone[second] = alone[second - 1] = False
+    first = np.ones(len(both), bool)
+    first[second] = False
+    sent = both[mine & first]
+    return sent, both[second[mine[second]]], np.concatenate([both[second - 1][:KEPT], both[mine & alone][:KEPT]])
+
+
+def _slices(uids: list[int], texts: pa.Array) -> Iterator[tuple[list[int], list[bytes], int]]:
+    """(uids, texts, first byte): runs of whole texts with about ``_SLICE`` bytes, or one part of a longer text.
+
+    Parts of a text overlap so that every string of ``LENGTH`` bytes lies in one of them.
+    """
+    run: list[bytes] = []
+    ids: list[int] = []
+    size = 0
+    for uid, text in zip(uids, texts):
+        raw = (text.as_py() or "").encode()
+        if run and size + len(raw) > _SLICE:
+            yield ids, run, 0
+            ids, run, size = [], [], 0
+        if len(raw) > _SLICE:
+            for at in range(0, len(raw) - LENGTH + 1, _SLICE):
+                yield [uid], [raw[at : at + _SLICE + LENGTH - 1]], at
+            continue
+        ids.append(uid)
+        run.append(raw)
+        size += len(raw)
+    if run:
+        yield ids, run, 0
+
+
+def _entries(uids: list[int], raws: list[bytes], at: int = 0) -> np.ndarray:
+    ends = np.cumsum([len(r) for r in raws])
+    found = blocks(np.frombuffer(b"".join(raws), np.uint8), ends)
+    doc = np.searchsorted(ends, found[0], side="right")
+    return _filled(found, np.array(uids, dtype=np.int64)[doc], np.concatenate([[0], ends])[doc] - at)
+
+
+def _union_of_entries(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return union_of(e["uid"], e["start"], e["start"] + e["count"] + LENGTH - 1)
 
 
 def _filled(found, uid: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -251,10 +287,10 @@ def _filled(found, uid: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return e
 
 
-_FOUND = "uid long, start long, stop long, off int, anchor long, crowded boolean"
+_FOUND = "uid long, start long, stop long, off int, anchor long, piece int"
 
 
-def _found(uid, start, stop, off, anchor, crowded) -> pa.RecordBatch:
+def _found(uid, start, stop, off, anchor, piece) -> pa.RecordBatch:
     n = len(uid)
     null = lambda t: pa.nulls(n, t)
     return pa.RecordBatch.from_arrays(
@@ -264,9 +300,9 @@ def _found(uid, start, stop, off, anchor, crowded) -> pa.RecordBatch:
             pa.array(stop, pa.int64()),
             null(pa.int32()) if off is None else pa.array(off, pa.int32()),
             null(pa.int64()) if anchor is None else pa.array(np.ascontiguousarray(anchor).view(np.int64)),
-            null(pa.bool_()) if crowded is None else pa.array(crowded),
+            null(pa.int32()) if piece is None else pa.array(piece, pa.int32()),
         ],
-        names=["uid", "start", "stop", "off", "anchor", "crowded"],
+        names=["uid", "start", "stop", "off", "anchor", "piece"],
     )
 
 
@@ -275,17 +311,16 @@ def _upper_levels(docs: DataFrame, n: int) -> DataFrame:
     fields = ["bucket", "entries", "repeats"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros(0, _ENTRY)
         for batch in batches:
-            uids = batch.column(0).to_pylist()
-            for rows, raws in _slices(batch, 1):
-                e, again = _later_copies(_entries(uids[rows], raws), "anchor", "content")
+            for uids, raws, at in _slices(batch.column(0).to_pylist(), batch.column(1)):
+                e, again = _later_copies(_entries(uids, raws, at), "anchor", "content")
+                e, known, kept = _unsent(e, kept)
                 bucket = ((e["anchor"] >> np.uint64(24)) % np.uint64(n * _SUB)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 e, bucket = e[order], bucket[order]
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(e)]])
                 packed = [e[a:b].tobytes() for a, b in zip(edges, edges[1:]) if b > a]
-                repeats = again.tobytes()
-                # repeats ride along to any bucket, dealt by the slice's first document
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([*bucket[edges[:-1]].tolist()] if len(e) else [], pa.int64()),
@@ -294,8 +329,11 @@ def _upper_levels(docs: DataFrame, n: int) -> DataFrame:
                     ],
                     names=fields,
                 )
+                again = np.concatenate([again, known])
                 if len(again):
-                    yield pa.RecordBatch.from_arrays([pa.array([(uids[rows][0] * 7919) % (n * _SUB)], pa.int64()), pa.nulls(1, pa.binary()), pa.array([repeats], pa.binary())], names=fields)
+                    # the union of the repeats rides along to any bucket, dealt by the slice's first document
+                    spans = np.stack(_union_of_entries(again)).astype("<i8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([(uids[0] * 7919) % (n * _SUB)], pa.int64()), pa.nulls(1, pa.binary()), pa.array([spans], pa.binary())], names=fields)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -306,8 +344,7 @@ def _upper_levels(docs: DataFrame, n: int) -> DataFrame:
                     yield from settle(held)
                     held, current = [], bucket
                 if repeats.is_valid:
-                    r = np.frombuffer(repeats.as_py(), _ENTRY)
-                    yield _found(r["uid"], r["start"], r["start"] + r["count"] + LENGTH - 1, None, None, None)
+                    yield _found(*np.frombuffer(repeats.as_py(), "<i8").reshape(3, -1), None, None, None)
                 if entries.is_valid:
                     held.append(entries.as_py())
         yield from settle(held)
@@ -317,12 +354,14 @@ def _upper_levels(docs: DataFrame, n: int) -> DataFrame:
             return
         e, again = _later_copies(np.frombuffer(b"".join(held), _ENTRY), "anchor", "content")
         if len(again):
-            yield _found(again["uid"], again["start"], again["start"] + again["count"] + LENGTH - 1, None, None, None)
+            yield _found(*_union_of_entries(again), None, None, None)
         _, inverse, contents = np.unique(e["anchor"], return_inverse=True, return_counts=True)
         contents = contents[inverse]
         some = e[contents > 1]
         if len(some):
-            yield _found(some["uid"], some["start"], some["start"] + some["count"] + LENGTH - 1, some["off"], some["anchor"], contents[contents > 1] > CROWDED)
+            contents = contents[contents > 1]
+            piece = np.where(contents > CROWDED, PIECE, np.where(contents > BUSY, BUSY_PIECE, 0))
+            yield _found(some["uid"], some["start"], some["start"] + some["count"] + LENGTH - 1, some["off"], some["anchor"], piece)
 
     sent = docs.select("uid", "text").mapInArrow(send, "bucket long, entries binary, repeats binary")
     dealt = sent.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")
@@ -339,7 +378,7 @@ def _structs(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
 def _lower_levels(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
     """(uid, start, stop) of repeats among the asked blocks, by their bytes."""
-    wanted = asked.groupBy("uid").agg(F.collect_list(F.struct("start", "stop", "off", "anchor", "crowded")).alias("asked"))
+    wanted = asked.groupBy("uid").agg(F.collect_list(F.struct("start", "stop", "off", "anchor", "piece")).alias("asked"))
     texts = docs.select("uid", "text").join(wanted, "uid").select("uid", "text", "asked")
     schema = "key long, uid long, start long, bytes binary, repeat_stop long"
     names = ["key", "uid", "start", "bytes", "repeat_stop"]
@@ -354,16 +393,18 @@ def _lower_levels(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
                 raw = (batch.column(1)[r].as_py() or "").encode()
                 for x in range(offsets[r], offsets[r + 1]):
                     a, b, key = int(field["start"][x]), int(field["stop"][x]), int(field["anchor"][x])
-                    if not field["crowded"][x]:
+                    piece = int(field["piece"][x])
+                    if not piece:
                         plain.append((key, uids[r], a, raw[a:b], None))
                         continue
                     spot, last = a + int(field["off"][x]), b - LENGTH
-                    # windows by the distance of their start from the anchor, PIECE distances a piece
+                    # windows by the distance of their start from the anchor, ``piece`` distances in one: equal
+                    # windows share the bytes that all windows of their piece have in common
                     w = last
                     while w >= a:
-                        d0 = (spot - w) // PIECE * PIECE
-                        low = max(a, spot - d0 - PIECE + 1)
-                        core = raw[spot - d0 : spot - d0 - PIECE + 1 + LENGTH]
+                        d0 = (spot - w) // piece * piece
+                        low = max(a, spot - d0 - piece + 1)
+                        core = raw[spot - d0 : spot - d0 - piece + 1 + LENGTH]
                         k = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=d0.to_bytes(2, "little")).digest(), "little", signed=True)
                         crowded.append((k, uids[r], low, raw[low : w + LENGTH], None))
                         w = low - 1
@@ -422,26 +463,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, text): uid orders documents; doc_id itself where it is unique and never null."""
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, documents) as (uid, doc_id, text): uid orders documents; doc_id itself where it is unique and never null.
+
+    Rows that repeat both doc_id and text have one uid and are one document.
+    """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows, ids = d.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("doc_id")).first()
     if (rows or 0) == ids:
-        return d.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+        same = d.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+        return same, same
     key = d.withColumn("__h", F.xxhash64("text"))
     order = key.select("doc_id", "__h").distinct().repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "__h")
     named = cut(order.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__h").withColumn("uid", F.monotonically_increasing_id()))
     named = named.select(F.col("doc_id").alias("__d"), F.col("__h").alias("__k"), "uid")
-    return key.join(named, key["doc_id"].eqNullSafe(named["__d"]) & (key["__h"] == named["__k"])).select("uid", "doc_id", "text")
+    rows = cut(key.join(named, key["doc_id"].eqNullSafe(named["__d"]) & (key["__h"] == named["__k"])).select("uid", "doc_id", "text"))
+    return rows, rows.dropDuplicates(["uid"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(uid, start, stop): byte spans of ``docs`` (uid, text) that repeat earlier strings; they may overlap."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
+    docs = docs.select("uid", "text")
     upper = cut(_upper_levels(docs, n))
     release(spark)
-    lower = cut(_lower_levels(docs, upper.where("anchor is not null").select("uid", "start", "stop", "off", "anchor", "crowded"), n))
+    lower = cut(_lower_levels(docs, upper.where("anchor is not null").select("uid", "start", "stop", "off", "anchor", "piece"), n))
     release(spark)
     return upper.where("anchor is null").select("uid", "start", "stop").unionByName(lower)
 
@@ -452,8 +499,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _removed(docs: DataFrame, of, column: str, kind: pa.DataType) -> DataFrame:
-    d = numbered(docs)
-    spans = repeated_spans(d.select("uid", "text")).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    d, once = numbered(docs)
+    spans = repeated_spans(once).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     name = column.split()[0]
     none = F.array().cast("array<struct<start:long,stop:long>>")
     joined = d.join(spans, "uid", "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))

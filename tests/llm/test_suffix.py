@@ -55,8 +55,9 @@ def made(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("crowded", [suffix.CROWDED, 1])
-def test_made_texts(spark, tmp_path, monkeypatch, crowded):
+@pytest.mark.parametrize("busy, crowded", [(suffix.BUSY, suffix.CROWDED), (1, suffix.CROWDED), (1, 1), (2, 6)])
+def test_made_texts(spark, tmp_path, monkeypatch, busy, crowded):
+    monkeypatch.setattr(suffix, "BUSY", busy)
     monkeypatch.setattr(suffix, "CROWDED", crowded)
     texts = made(3)
     rows = [(i * 5, t, "en", "s", 1) for i, t in enumerate(texts)]
@@ -106,3 +107,66 @@ def test_blocks_cover_every_window_once():
     begin = np.concatenate([[0], ends[:-1]])
     want = np.concatenate([np.arange(b, max(b, e - 99)) for b, e in zip(begin, ends)])
     assert windows.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("alphabet", ["a\0", "\0\1", "ab\0é"])
+def test_texts_with_nuls(spark, tmp_path, alphabet):
+    """Suffixes that differ by NULs at their ends only; many short periods."""
+    rnd = random.Random(len(alphabet))
+    texts = []
+    for _ in range(120):
+        base = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 60)))
+        t = base * rnd.randrange(1, 8) + "\0" * rnd.randrange(0, 130) * rnd.randrange(0, 2)
+        texts.append(t + rnd.choice(texts)[rnd.randrange(0, 30) :] if texts and rnd.random() < 0.5 else t)
+    path = saved(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]).repartition(5), tmp_path)
+    assert run(spark, path) == sorted(((i, *w) for i, w in enumerate(brute(texts))), key=str)
+
+
+def test_maximal_repeats_with_nuls():
+    rnd = random.Random(4)
+    for _ in range(150):
+        strings = [bytes(rnd.choice(b"\0\0a") for _ in range(rnd.randrange(0, 30))) for _ in range(6)]
+        seen, want = set(), set()
+        for i, s in enumerate(strings):
+            for a in range(len(s) - 4):
+                if s[a : a + 5] in seen:
+                    want |= {(i, k) for k in range(a, a + 5)}
+                seen.add(s[a : a + 5])
+        got = set()
+        for n, owner, at in suffix.maximal_repeats(strings, 5):
+            for i, a in sorted(zip(owner.tolist(), at.tolist()))[1:]:
+                got |= {(i, k) for k in range(a, a + int(n))}
+        assert got == want
+
+
+def test_rows_that_repeat_a_document(spark, tmp_path):
+    """One document in two rows is no copy of itself; another document with its text is."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (2, text + "!", "en", "s", 1), (None, "y" * 150, "en", "s", 1)]
+    got = run(spark, saved(documents(spark, rows), tmp_path))
+    order = [(None, "y" * 150), (1, text)]
+    assert sum(r[2] for r in got if r[0] == 1) == 0 and sum(r[2] for r in got if r[0] == 2) >= 2 * len(text) - 1
+    assert [r for r in got if r[0] is None][0][2] == brute([order[0][1]])[0][1]
+
+
+def test_parts_of_long_texts(spark, tmp_path, monkeypatch):
+    """Texts longer than a slice go in overlapping parts, and tasks forget what they sent; the result stays."""
+    monkeypatch.setattr(suffix, "_SLICE", 700)
+    monkeypatch.setattr(suffix, "KEPT", 3)
+    texts = [*made(5, 25), "a" * 5000, "ab" * 1500, "x" * 99]
+    path = saved(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]).repartition(3), tmp_path)
+    assert run(spark, path) == sorted(((i, *w) for i, w in enumerate(brute(texts))), key=str)
+
+
+def test_entries_of_a_task_are_sent_once():
+    e = suffix._later_copies(suffix._entries([5], [b"".join(b"%d " % i for i in range(300))]), "anchor", "content")[0]
+    later = e.copy()
+    later["uid"] = 9
+    earlier = e.copy()
+    earlier["uid"] = 2
+    sent, known, kept = suffix._unsent(e, np.zeros(0, suffix._ENTRY))
+    assert len(sent) == len(e) and not len(known)
+    sent, known, kept = suffix._unsent(later, kept)
+    assert not len(sent) and len(known) == len(e) and (known["uid"] == 9).all()
+    sent, known, kept = suffix._unsent(earlier, kept)
+    assert len(sent) == len(e) and not len(known) and (kept["uid"] == 2).all()
