@@ -11,6 +11,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +26,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    The folder is the session's own; only where none is set (plain local tests)
-    a temporary one is chosen.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where none is named, a local session (one machine, as in tests) gets a temporary one; on a
+    cluster that folder would not be shared, and this fails.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
-    return df.checkpoint(eager=True)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("no checkpoint folder: set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def join_by_weight(rows: DataFrame, side: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` (cut, one row a key, ``weight`` = how many rows have the key).
+
+    Keys that hold more than a quarter of an even partition's rows are joined by broadcast: there
+    are fewer than four times the partitions of them, whatever the data.  The rest is shuffled.
+    """
+    heavy = side.agg(F.sum(weight)).first()[0] or 0
+    bound = F.lit(max(1000, heavy // (4 * shuffle_partitions(rows.sparkSession))))
+    hot = F.broadcast(side.where(F.col(weight) > bound).drop(weight))
+    cold = side.where(F.col(weight) <= bound).drop(weight)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], columns: int, rows: int = 50_000, size: int = 1 << 25) -> Iterator[list[np.ndarray]]:
+    """Runs of sorted rows (as numpy columns) that end where the leading ``columns`` columns change."""
+    held: list[pa.RecordBatch] = []
+    have = held_bytes = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        have += batch.num_rows
+        held_bytes += batch.nbytes
+        if have < rows and held_bytes < size:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        at = key_edges(*(whole.column(c).to_numpy() for c in range(columns)))[0]
+        if len(at) > 1:
+            yield [x.to_numpy(zero_copy_only=False) for x in whole.slice(0, at[-1]).columns]
+            held = [whole.slice(at[-1])]
+        else:
+            held = [whole]
+        have, held_bytes = held[0].num_rows, held[0].nbytes
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield [x.to_numpy(zero_copy_only=False) for x in whole.columns]
+
+
+def key_edges(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, row behind the last) of every run of rows that agree in all columns."""
+    change = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    at = np.flatnonzero(change) + 1
+    return np.concatenate([[0], at]), np.concatenate([at, [len(columns[0])]])
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -3,16 +3,20 @@
 A fingerprint is the bitwise majority of the XXH64 values of a text's word
 shingles.  Fingerprints within two bits are found without comparing pairs:
 
-* the 64 bits are cut into segments; for each segment the Hamming ball of
-  radius one is enumerated while the other segments stay as they are, and the
-  fingerprint is filed in the index under every resulting code.  Two codes
-  that differ in two bits (in one segment or in two) meet under the code that
-  differs from each of them in one; codes that differ in one bit meet under
-  either of them;
-* an index entry therefore holds at most 65 distinct fingerprints however many
-  copies the corpus has, so no bucket grows with a group of near copies;
-* the entries' members are matched to their smallest member, complete
-  distances are verified, and links become components.
+* the 64 bits are cut into two segments, each with a table.  Of two bits that
+  differ one segment has at most one, so every pair meets in a table whose
+  keys are the segment's values with the ball of radius one around them;
+* of two values that differ in one bit exactly one has it set: a fingerprint is
+  filed under its segment's value and under that value with each set bit
+  cleared, half the ball, and the pair still meets;
+* whatever meets in a table may differ anywhere in the other segment: complete
+  distances are compared, and what lies within two bits is linked.
+
+A key holds few fingerprints unless many texts are variants of each other.
+Members of keys with more than ``CROWD`` go to a second index instead, exact and
+bounded whatever they look like: a covering code of radius one over all 64
+bits.  There two fingerprints within two bits of each other have a code in
+common, and no code has more than 65 members.
 
 Equal fingerprints are collapsed before the index is built.
 
@@ -33,10 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.llm.common import connected_components, cut, table
+from cairnframe.llm.common import connected_components, cut, join_by_weight, key_edges, key_runs, shuffle_partitions, table
 
 SEED = 42
-SEGMENT_BITS = 16
+SEGMENT_BITS = 32
+#: Members of a key that are compared with each other in one task.
+CROWD = 1024
 _STEP = 1 << 16
 
 
@@ -68,41 +74,99 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _mask(bit: int):
+    return F.lit((1 << bit) - (1 << 64) if bit == 63 else 1 << bit).cast("long")
+
+
+def segment_codes(fp) -> list:
+    """Table keys of a fingerprint (some null): the table's number above the segment's value or a neighbour of it."""
+    codes = []
+    for s in range(64 // SEGMENT_BITS):
+        value = F.shiftrightunsigned(fp, s * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
+        table_ = F.lit(s << SEGMENT_BITS)
+        codes.append(table_.bitwiseOR(value))
+        for bit in range(SEGMENT_BITS):
+            there = value.bitwiseAND(F.lit(1 << bit)) != 0
+            codes.append(F.when(there, table_.bitwiseOR(value.bitwiseXOR(F.lit(1 << bit)))))
+    return codes
+
+
 def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints of ``fps`` within two bits of each other.
 
     Every returned link is verified; chains of returned links join exactly the
     fingerprints that chains of distances <= 2 join.
     """
-    balls = [F.col(fp)]
-    for segment in range(64 // SEGMENT_BITS):
-        for bit in range(SEGMENT_BITS):
-            mask = 1 << (segment * SEGMENT_BITS + bit)
-            balls.append(F.col(fp).bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
-    entries = fps.select(fp).distinct().select(F.col(fp).alias("f"), F.explode(F.array(*balls)).alias("code"))
-    met = (
-        entries.groupBy("code").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.collect_set("f").alias("members")).where("low < high")
-    )
-    return (
-        met.select("low", F.explode("members").alias("f"))
-        .where("f <> low")
-        .where(F.bit_count(F.col("low").bitwiseXOR(F.col("f"))) <= 2)
-        .select(F.col("low").alias("a"), F.col("f").alias("b"))
-        .distinct()
-    )
+    n = shuffle_partitions(fps.sparkSession)
+    # dealt to a fixed number of tasks: the rows are few before the balls are enumerated and many behind
+    distinct = fps.select(F.col(fp).alias("f")).distinct().repartition(n, "f")
+    filed = distinct.select(F.explode(F.array(*segment_codes(F.col("f")))).alias("code"), "f").where("code is not null")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, f in key_runs(batches, 1):
+            start, stop = key_edges(code)
+            size = stop - start
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for k in np.unique(size[(size > 1) & (size <= 16)]):
+                i, j = np.triu_indices(k, 1)
+                at = start[size == k][:, None]
+                found.append(_near(f[(at + i).ravel()], f[(at + j).ravel()]))
+            for k in np.flatnonzero((size > 16) & (size <= CROWD)):
+                found.append(_forest(f[start[k] : stop[k]]))
+            rest = f[np.repeat(size > CROWD, size)]
+            a = np.concatenate([*(x for x, _ in found), rest])
+            b = [x for _, x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.concat_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *b])), pa.nulls(len(rest), pa.int64())])], names=["a", "b"])
+
+    met = cut(filed.repartition(n, "code").sortWithinPartitions("code", "f").mapInArrow(meet, "a long, b long"))
+    crowded = met.where("b is null").select(F.col("a").alias("f")).distinct()
+    return met.where("b is not null").unionByName(covered_links(crowded.repartition(n, "f")))
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    near = np.bitwise_count((x ^ y).view(np.uint64)) <= 2
+    return x[near], y[near]
+
+
+def _forest(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all members within two bits of each other, fewer than there are members."""
+    left, queue = f, []
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    while len(left):
+        if not queue:
+            queue, left = [left[0]], left[1:]
+        at = queue.pop()
+        near = np.bitwise_count((left ^ at).view(np.uint64)) <= 2
+        found = left[near]
+        a.append(np.full(len(found), at))
+        b.append(found)
+        queue += list(found)
+        left = left[~near]
+    return np.concatenate(a or [f[:0]]), np.concatenate(b or [f[:0]])
+
+
+def covered_links(distinct: DataFrame) -> DataFrame:
+    """``fingerprint_links`` of distinct fingerprints ``f`` by a covering code of radius one over all bits.
+
+    Each is filed under itself and its 64 neighbours; members of a code are linked to the smallest.
+    """
+    balls = [F.col("f"), *(F.col("f").bitwiseXOR(_mask(bit)) for bit in range(64))]
+    entries = distinct.select("f", F.explode(F.array(*balls)).alias("code"))
+    met = entries.groupBy("code").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.collect_set("f").alias("members")).where("low < high")
+    pairs = met.select(F.col("low").alias("a"), F.explode("members").alias("b")).where("a <> b")
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``."""
     fps = cut(fingerprints(docs, shingle))
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("low_id"))
-    roots = connected_components(fingerprint_links(fps))
-    rooted = groups.join(roots, groups.fp == roots.node, "left").select(
-        "fp", "low_id", F.coalesce("component", "fp").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    groups = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n")))
+    roots = connected_components(fingerprint_links(groups))
+    rooted = cut(groups.join(roots, groups.fp == roots.node, "left").select("fp", "low_id", "n", F.coalesce("component", "fp").alias("root")))
+    named = cut(rooted.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count("*").alias("fps")))
+    by_fp = cut(join_by_weight(rooted, named, ["root"], "fps").select("fp", "component_id", "n"))
+    return join_by_weight(fps, by_fp, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

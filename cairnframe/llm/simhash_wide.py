@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnframe.llm.common import connected_components, cut, shuffle_partitions, small
+from cairnframe.llm.common import connected_components, cut, join_by_weight, key_edges, key_runs, shuffle_partitions, small
 from cairnframe.llm.simhash import SEED
 
 SHINGLE = 5
@@ -129,42 +129,6 @@ def _fingerprints(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
     return docs.select("rid", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "rid long, doc_id long, digest binary, fp binary, low binary")
 
 
-def _same_key(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Runs of rows (as numpy columns) that end where the leading ``columns`` columns change."""
-    held: list[pa.RecordBatch] = []
-    rows = size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        size += batch.nbytes
-        if rows < 50_000 and size < _SET_BYTES:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        change = np.zeros(whole.num_rows - 1, bool)
-        for c in range(columns):
-            change |= np.diff(whole.column(c).to_numpy()) != 0
-        at = np.flatnonzero(change)
-        if len(at):
-            yield [x.to_numpy(zero_copy_only=False) for x in whole.slice(0, at[-1] + 1).columns]
-            held = [whole.slice(at[-1] + 1)]
-        else:
-            held = [whole]
-        rows, size = held[0].num_rows, held[0].nbytes
-    if held:
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        yield [x.to_numpy(zero_copy_only=False) for x in whole.columns]
-
-
-def _edges(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    change = np.zeros(len(columns[0]) - 1, bool)
-    for c in columns:
-        change |= np.diff(c) != 0
-    at = np.flatnonzero(change) + 1
-    return np.concatenate([[0], at]), np.concatenate([at, [len(columns[0])]])
-
-
 def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> DataFrame:
     """Candidate links (a, b) that join all near fingerprints (node, fp, low) with segments of ``bits`` bits."""
     spark = nodes.sparkSession
@@ -186,8 +150,8 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1])), pa.array(code)], names=["key", "node", "code"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, code in _same_key(batches, 1):
-            start, stop = _edges(key)
+        for key, node, code in key_runs(batches, 1):
+            start, stop = key_edges(key)
             size = stop - start
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for k in np.unique(size[(size > 1) & (size <= CROWD)]):
@@ -225,9 +189,9 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
     prints = nodes.select("node", "fp")
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, own, other, node, fp in _same_key(batches, 3):
+        for key, own, other, node, fp in key_runs(batches, 3):
             out: list[tuple[np.ndarray, np.ndarray]] = []
-            for s, e in zip(*_edges(key, own, other)):
+            for s, e in zip(*key_edges(key, own, other)):
                 x = np.frombuffer(b"".join(fp[s:e]), "<u8").reshape(-1, WORDS)
                 out.append(_spanning(x, node[s:e], most))
             arrays = [pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(2)]
@@ -329,10 +293,10 @@ def similar_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, simi
     chunked = cut(sets.select("key", "node").join(small(sizes), "key").withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, own, other, node, group, fp, grams_ in _same_key(batches, 3):
+        for key, own, other, node, group, fp, grams_ in key_runs(batches, 3):
             a: list[int] = []
             b: list[int] = []
-            for s, e in zip(*_edges(key, own, other)):
+            for s, e in zip(*key_edges(key, own, other)):
                 x = np.frombuffer(b"".join(fp[s:e]), "<u8").reshape(-1, WORDS)
                 found = _alike(node[s:e], group[s:e], x, [np.frombuffer(g, "<u8") for g in grams_[s:e]], similarity, most)
                 a += found[0]

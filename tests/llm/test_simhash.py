@@ -61,6 +61,35 @@ def test_links_cover_every_pair_within_two_bits(spark):
         assert roots.get(c, c) == want[i]
 
 
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    """Hundreds of variants share a segment's value: small keys, forests, and the second index link alike."""
+    import random
+
+    from cairnframe.llm.common import connected_components
+
+    rnd = random.Random(9)
+    low = rnd.getrandbits(32)
+    codes = {(rnd.getrandbits(7) << 40) | low for _ in range(90)} | {(1 << rnd.randrange(32, 64)) ^ low ^ (1 << rnd.randrange(32)) for _ in range(60)} | {0, 2**64 - 1, 3}
+    signed = sorted(c - (1 << 64) if c >> 63 else c for c in codes)
+    fps = spark.createDataFrame([(c,) for c in signed], "fp long")
+    want = brute_components([(c, c & (2**64 - 1)) for c in signed])
+    for crowd in (3, 40, 1024):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        links = simhash.fingerprint_links(fps)
+        assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 2 for r in links.collect())
+        roots = {r.node: r.component for r in connected_components(links).collect()}
+        assert [roots.get(c, c) for c in signed] == [want[i] for i in range(len(signed))]
+
+
+def test_hot_keys_are_joined_by_broadcast(spark):
+    from cairnframe.llm.common import join_by_weight
+
+    rows = spark.createDataFrame([(1, i) for i in range(3000)] + [(i, i) for i in range(2, 1000)], "k long, v long")
+    side = rows.groupBy("k").count().selectExpr("k", "count", "k + 1 AS name").cache()
+    got = join_by_weight(rows, side, ["k"], "count")
+    assert got.count() == 3998 and got.where("name <> k + 1").count() == 0 and got.columns == ["k", "v", "name"]
+
+
 def test_odd_rows(spark, tmp_path):
     rows = simhash.op2_simhash(spark, saved(clashing(documents(spark)), tmp_path)).collect()
     assert len(rows) == 9
