@@ -13,10 +13,18 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairnframe-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The session's checkpoint folder.
+
+    Where none is named, a local session (one machine) gets a temporary one; on a cluster that
+    folder would not be shared, and this fails.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("no checkpoint folder: set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairnframe-"))
+    return context.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
