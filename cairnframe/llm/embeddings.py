@@ -1,20 +1,21 @@
 """Embedding near-duplicates with randomised-rotation binary codes (operator 1).
 
-Every unit vector o is rotated by one shared random rotation P and stored as
-the sign code s of P o together with its correction factor
-f = <s / sqrt(D), P o>.  For another vector q the quantity
-<s / sqrt(D), P q> / f estimates <o, q> without bias, and
-EPSILON * sqrt((1 - f^2) / f^2 / (D - 1)) bounds its error with confidence; a
-pair whose estimate plus bound stays below the threshold is dismissed, every
-other pair is recomputed exactly in double precision.
-
-Which pairs are estimated: vectors are filed under bands of sign bits of
-further random projections.  Width and number of bands follow from the number
-of vectors and the threshold: a pair at the threshold shares no band with
-probability ``MISS`` at most, at any size.  A pair counts in the first band it
-shares only, so links are summed without ever emitting pairs.  A band key with
-more than ``CHUNK`` vectors is cut into chunks, and chunk pairs go to separate
-rows groups, so no task ever holds more than two chunks of a key at once.
+Every unit vector o is padded and rotated by one shared random rotation P; once, its code is made
+and stored: the packed signs s of P o, the correction factor f = <s / sqrt(D), P o>, and P o in
+four bits a component (randomised rounding, packed as bit planes).  For two vectors o and q
+<s / sqrt(D), P q> / f, taken from o's signs and q's planes by bit counts, estimates <o, q> without
+bias, and EPSILON standard deviations, (1 - f^2) / f^2 / (D - 1) for the signs and a quarter of a
+step squared for the rounding, bound its error with confidence.  A pair whose estimate plus bound
+stays below the threshold is dismissed on the codes alone; only for the others are the vectors
+themselves fetched and the cosine computed in double precision.
+
+Which pairs are estimated: codes are filed under bands.  A band is a few cross-polytope hashes:
+each names the one of ``2 m`` random directions that is nearest.  Their number follows from the
+number of vectors and the threshold: a pair at the threshold shares no band with probability
+``MISS`` at most, at any size.  A pair counts in the first band it shares only, so links are summed
+without ever emitting pairs: what leaves the comparison of codes are vectors that have an open
+pair.  A band key with more than ``CHUNK`` vectors is cut into chunks, and chunk pairs go to
+separate groups of rows, so no task ever holds more than two chunks of a key at once.
 
 Equal vectors are collapsed first and counted by multiplicity.  Projections use
 whole numbers below 2^53 in float64, so a band key never depends on batch shape.
@@ -37,30 +38,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.llm.common import connected_components, cut, shuffle_partitions, small, table
+from cairnframe.llm.common import connected_components, cut, join_by_weight, key_edges, key_runs, shuffle_partitions, small, table
 
 THRESHOLD = 0.95
 EPSILON = 5.0
 MISS = 1e-6
 CHUNK = 1024
 SEED = 977
+#: Unrelated vectors that a band key should hold.
+PER_KEY = 64
+PLANES = 4
 
 
-def bands(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """(bits of a band, bands) for n vectors: about one unrelated vector a key."""
-    bits = min(30, max(8, round(math.log2(max(2, n)))))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log1p(-same))
+def share_of_hash(m: int, threshold: float) -> float:
+    """Chance that two vectors with this cosine have one cross-polytope hash over m directions.
+
+    The directions are Gaussian, so it depends on nothing else; simulated, three standard errors off.
+    """
+    rng = np.random.default_rng([SEED, m])
+    a = rng.standard_normal((40_000, m))
+    b = threshold * a + math.sqrt(1 - threshold**2) * rng.standard_normal(a.shape)
+    p = float((_nearest(a[:, None, :]) == _nearest(b[:, None, :])).mean())
+    return p - 3 * math.sqrt(p * (1 - p) / len(a))
+
+
+@functools.lru_cache(maxsize=16)
+def bands(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int, int]:
+    """(directions of a hash, hashes of a band, bands) for n vectors: about ``PER_KEY`` unrelated vectors a key."""
+    bits = min(28, max(3, math.ceil(math.log2(max(2, n) / PER_KEY))))
+    hashes = math.ceil(bits / 7)
+    m = 1 << (math.ceil(bits / hashes) - 1)
+    same = share_of_hash(m, threshold) ** hashes
+    return m, hashes, math.ceil(math.log(miss) / math.log1p(-same))
 
 
 @functools.lru_cache(maxsize=4)
 def rotation(dim: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng([SEED, dim]).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """dim x D: the part of a random rotation of D dimensions (a multiple of 64) that meets a padded vector."""
+    wide = -(-dim // 64) * 64
+    q, r = np.linalg.qr(np.random.default_rng([SEED, dim]).standard_normal((wide, wide)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
 @functools.lru_cache(maxsize=4)
-def _projections(dim: int, columns: int) -> np.ndarray:
+def _directions(dim: int, columns: int) -> np.ndarray:
     return np.rint(np.random.default_rng([SEED, dim, columns]).standard_normal((dim, columns)) * 256)
 
 
@@ -70,36 +91,75 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def band_keys(x: np.ndarray, bits: int, count: int) -> np.ndarray:
+def _nearest(x: np.ndarray) -> np.ndarray:
+    """Number of the nearest of the 2 m directions (last axis), the negative ones behind the positive."""
+    at = np.abs(x).argmax(axis=-1)
+    return at + np.where(np.take_along_axis(x, at[..., None], axis=-1)[..., 0] < 0, x.shape[-1], 0)
+
+
+def band_keys(x: np.ndarray, m: int, hashes: int, count: int) -> np.ndarray:
     """rows x count keys of unit vectors; keys of other bands or dimensions differ."""
     dim = x.shape[1]
-    signs = np.rint(x * 2**24) @ _projections(dim, bits * count) > 0
-    value = signs.reshape(len(x), count, bits) @ (1 << np.arange(bits, dtype=np.int64))
+    near = _nearest((np.rint(x * 2**24) @ _directions(dim, m * hashes * count)).reshape(len(x), count, hashes, m))
+    value = near @ ((2 * m) ** np.arange(hashes, dtype=np.int64))
     return (dim << 42) + (np.arange(count, dtype=np.int64) << 31) + value
 
 
 class Codes:
-    """Sign codes and correction factors of unit vectors, and the rotated vectors themselves."""
-
-    def __init__(self, x: np.ndarray):
-        dim = x.shape[1]
-        self.rotated = x @ rotation(dim).T
-        self.code = np.where(self.rotated >= 0, 1.0, -1.0) / math.sqrt(dim)
-        self.factor = np.abs(self.rotated).sum(axis=1) / math.sqrt(dim)
-        self.spread = np.sqrt(np.maximum(0, 1 - self.factor**2)) / self.factor / math.sqrt(max(1, dim - 1))
-
-    def may_reach(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Codes of unit vectors: made once from the vectors, or read back from their stored form."""
+
+    def __init__(self, signs: np.ndarray, planes: np.ndarray, numbers: np.ndarray):
+        self.signs, self.planes, self.numbers = signs, planes, numbers  # n x W, n x PLANES x W uint64, n x 4 float32
+        self.width = 64 * signs.shape[1]
+        self.factor, self.low, self.step, self.sum = numbers.astype(np.float64).T
+        self.ones = np.bitwise_count(signs).sum(axis=1, dtype=np.int64)
+        self.spread = np.maximum(0, 1 - self.factor**2) / self.factor**2 / (self.width - 1)
+        self.rounding = (self.step / 2) ** 2
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Codes:
+        y = x @ rotation(x.shape[1])
+        wide = y.shape[1]
+        factor = np.abs(y).sum(axis=1) / math.sqrt(wide)
+        low = y.min(axis=1).astype("<f4")
+        step = np.maximum((y.max(axis=1) - low) / (2**PLANES - 1), 1e-12).astype("<f4")
+        dither = np.random.default_rng([SEED, wide, 1]).random(wide)
+        level = np.clip(np.floor((y - low[:, None]) / step[:, None] + dither), 0, 2**PLANES - 1).astype(np.uint8)
+        word = lambda bits: np.packbits(bits, axis=1, bitorder="little").view("<u8")
+        planes = np.stack([word(level >> k & 1) for k in range(PLANES)], axis=1)
+        return cls(word(y >= 0), planes, np.stack([factor, low, step, level.sum(axis=1)], axis=1).astype("<f4"))
+
+    def stored(self) -> list[bytes]:
+        n = len(self.signs)
+        parts = (self.signs.reshape(n, -1).view(np.uint8), self.planes.reshape(n, -1).view(np.uint8), np.ascontiguousarray(self.numbers).view(np.uint8))
+        return [r.tobytes() for r in np.concatenate(parts, axis=1)]
+
+    @classmethod
+    def read(cls, stored: list[bytes]) -> Codes:
+        raw = np.frombuffer(b"".join(stored), np.uint8).reshape(len(stored), -1)
+        words = (raw.shape[1] - 16) // 8 // (1 + PLANES)
+        whole = np.ascontiguousarray(raw[:, : words * 8 * (1 + PLANES)]).view("<u8")
+        return cls(whole[:, :words], whole[:, words:].reshape(len(raw), PLANES, words), np.ascontiguousarray(raw[:, -16:]).view("<f4"))
+
+    def estimates(self, i, j) -> tuple[np.ndarray, np.ndarray]:
+        """(estimated inner product, its standard deviation) of vectors i (signs) and j (planes); i and j broadcast."""
+        inner = 0
+        for w in range(self.signs.shape[1]):
+            mine = self.signs[i, w]
+            for k in range(PLANES):
+                inner = inner + (np.bitwise_count(mine & self.planes[j, k, w]).astype(np.int32) << k)
+        rotated = self.low[j] * (2 * self.ones[i] - self.width) + self.step[j] * (2 * inner - self.sum[j])
+        return rotated / (math.sqrt(self.width) * self.factor[i]), np.sqrt(self.spread[i] + self.rounding[j] / self.factor[i] ** 2)
+
+    def may_reach(self, i, j, threshold: float) -> np.ndarray:
         """Pairs whose confidence bound reaches the threshold."""
-        estimate = np.einsum("ij,ij->i", self.code[i], self.rotated[j]) / self.factor[i]
-        return estimate + EPSILON * self.spread[i] >= threshold
-
-    def may_reach_all(self, rows: slice, columns: slice, threshold: float) -> np.ndarray:
-        estimate = self.code[rows] @ self.rotated[columns].T / self.factor[rows, None]
-        return estimate + EPSILON * self.spread[rows, None] >= threshold
+        estimate, deviation = self.estimates(i, j)
+        return estimate + EPSILON * deviation >= threshold
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: str = "<f8") -> np.ndarray:
+    raw = b"".join(column.to_pylist() if isinstance(column, pa.Array) else column)
+    return np.frombuffer(raw, kind).reshape(len(column), -1).astype(np.float64)
 
 
 def _by_dim(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
@@ -109,9 +169,11 @@ def _by_dim(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(size == s))
 
 
-def _groups(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with their vector's digests, distinct usable vectors with id, least vec_id and multiplicity)."""
-    v = F.col("embedding").cast("array<double>")
+def _groups(embeddings: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(rows with their vector's digests, distinct usable vectors with id, least vec_id and multiplicity, numpy's name of their type)."""
+    kind = "<f4" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    own = F.col("embedding") if kind == "<f4" else F.col("embedding").cast("array<double>")
+    v = own.cast("array<double>")
     usable = F.coalesce(
         F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0),
         F.lit(False),
@@ -120,57 +182,22 @@ def _groups(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("vec_id").cast("long").alias("vec_id"),
         F.when(usable, F.xxhash64(F.lit(1), v)).alias("d1"),
         F.when(usable, F.xxhash64(F.lit(2), v, F.size(v))).alias("d2"),
-        F.when(usable, v).alias("v"),
+        F.when(usable, own).alias("v"),
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = pa.array([np.array(x, "<f8").tobytes() for x in b.column(4).to_pylist()], pa.binary())
+            raw = pa.array([np.array(x, kind).tobytes() for x in b.column(4).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], raw], names=["d1", "d2", "rep", "mult", "raw"])
 
     distinct = seen.where("d1 is not null").groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.any_value("v").alias("v"))
     packed = distinct.mapInArrow(pack, "d1 long, d2 long, rep long, mult long, raw binary")
-    return seen.select("vec_id", "d1", "d2"), cut(packed.withColumn("g", F.monotonically_increasing_id()))
-
-
-def _judge(x: np.ndarray, key: np.ndarray, own: np.ndarray, cross: bool, threshold: float, bits: int, count: int):
-    """Linked pairs (i, j) of one key group that share no earlier band; ``own`` is each row's chunk."""
-    codes = Codes(x)
-    band = int(key >> 31) & 0x7FF
-    earlier = band_keys(x, bits, count)[:, :band] if band else None
-    step = 512
-    for a in range(0, len(x), step):
-        for b in range(a, len(x), step):
-            may = codes.may_reach_all(slice(a, a + step), slice(b, b + step), threshold)
-            i, j = np.nonzero(may)
-            i, j = i + a, j + b
-            keep = i < j
-            if cross:
-                keep &= own[i] != own[j]
-            i, j = i[keep], j[keep]
-            for c in range(0, len(i), 100_000):
-                yield _exact(x, i[c : c + 100_000], j[c : c + 100_000], earlier, threshold)
-
-
-def _exact(x, i, j, earlier, threshold):
-    linked = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-    i, j = i[linked], j[linked]
-    if earlier is not None and len(i):
-        fresh = np.ones(len(i), bool)
-        for c in range(earlier.shape[1]):
-            column = earlier[:, c]
-            fresh &= column[i] != column[j]
-        i, j = i[fresh], j[fresh]
-    return i, j
-
-
-def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return seen.select("vec_id", "d1", "d2"), cut(packed.withColumn("g", F.monotonically_increasing_id())), kind
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index reachable over the pairs, by repeated minima."""
     root = np.arange(n)
-    if not pairs:
-        return root
-    i = np.concatenate([p[0] for p in pairs])
-    j = np.concatenate([p[1] for p in pairs])
     while True:
         low = np.minimum(root[i], root[j])
         new = root.copy()
@@ -182,123 +209,122 @@ def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         root = new
 
 
-def near_links(groups: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def _pairs_of(start: np.ndarray, stop: np.ndarray, chunk: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in each group, many at a time: lists of pairs from small groups, and from large ones
+    blocks of all pairs between some rows (a column of numbers) and others (a row of numbers)."""
+    size = stop - start
+    for k in np.unique(size[(size > 1) & (size <= 48)]):
+        a, b = np.triu_indices(k, 1)
+        at, over = start[size == k], cross[size == k]
+        some = max(1, 200_000 // len(a))
+        for c in range(0, len(at), some):
+            i, j = (at[c : c + some, None] + a).ravel(), (at[c : c + some, None] + b).ravel()
+            keep = ~np.repeat(over[c : c + some], len(a)) | (chunk[i] != chunk[j])
+            yield i[keep], j[keep]
+    for g in np.flatnonzero(size > 48):
+        for r in range(start[g], stop[g], 512):
+            for c in range(r, stop[g], 512):
+                yield np.arange(r, min(r + 512, stop[g]))[:, None], np.arange(c, min(c + 512, stop[g]))[None]
+
+
+def _chosen(i: np.ndarray, j: np.ndarray, test, chunk: np.ndarray, crossing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that pass ``test``, of a list or a block of them; of a block only i < j, and in groups of two chunks only pairs across."""
+    ok = test(i, j)
+    if i.ndim == 1:
+        return i[ok], j[ok]
+    rows, columns = np.nonzero(ok)
+    x, y = i[rows, 0], j[0, columns]
+    keep = (x < y) & (~crossing[x] | (chunk[x] != chunk[y]))
+    return x[keep], y[keep]
+
+
+def near_links(groups: DataFrame, threshold: float = THRESHOLD, kind: str = "<f8") -> tuple[DataFrame, DataFrame]:
     """(g, n_links) and links (a, b) that connect the same components, of distinct vectors (g, mult, raw)."""
     spark = groups.sparkSession
-    bits, count = bands(groups.count(), threshold)
-
-    def file(whole: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in _by_dim(batch, 2) if batch.num_rows else ():
-                    for s in range(0, part.num_rows, 512):
-                        b = part.slice(s, 512)
-                        keys = band_keys(unit(_matrix(b.column(2))), bits, count)
-                        if not whole:
-                            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel())], names=["key"])
-                            continue
-                        take = pa.array(np.repeat(np.arange(len(keys)), count))
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(c.take(take) for c in b.columns)], names=["key", "g", "mult", "raw"])
-
-        return run
-
-    small_rows = groups.select("g", "mult", "raw")
-    counts = small_rows.mapInArrow(file(False), "key long").groupBy("key").agg(F.count("*").alias("n"))
-    hot = cut(counts.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
-    rows = small_rows.mapInArrow(file(True), "key long, g long, mult long, raw binary")
-    own = F.pmod(F.xxhash64("g"), F.coalesce("chunks", F.lit(1))).cast("int")
-    chunked = rows.join(small(hot), "key", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    placed = chunked.select("key", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), "own", "g", "mult", "raw")
+    m, hashes, count = bands(groups.count(), threshold)
     n = shuffle_partitions(spark)
-    dealt = placed.repartition(n, "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "g")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            key = whole.column(0).to_numpy() * 31 + whole.column(1).to_numpy() * 1_000_003 + whole.column(2).to_numpy() * 7_368_787
-            change = np.flatnonzero(np.diff(key)) + 1
-            if not len(change):
-                held = [whole]
-                continue
-            yield from _groups_of(whole.slice(0, change[-1]), change[:-1])
-            held = [whole.slice(change[-1])]
-        if held:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            key = whole.column(0).to_numpy() * 31 + whole.column(1).to_numpy() * 1_000_003 + whole.column(2).to_numpy() * 7_368_787
-            yield from _groups_of(whole, np.flatnonzero(np.diff(key)) + 1)
-
-    def _groups_of(batch: pa.RecordBatch, change: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.concatenate([[0], change]).astype(int)
-        stop = np.concatenate([change, [batch.num_rows]]).astype(int)
-        key, ci, cj, chunk = (batch.column(c).to_numpy() for c in range(4))
-        g, mult = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def settle(index: np.ndarray, pairs: list) -> None:
-            pairs = [p for p in pairs if len(p[0])]
-            if not pairs:
-                return
-            weight = np.zeros(len(index), np.int64)
+            for part in _by_dim(batch, 1) if batch.num_rows else ():
+                for s in range(0, part.num_rows, 512):
+                    b = part.slice(s, 512)
+                    x = unit(_matrix(b.column(1), kind))
+                    keys = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * count, pa.int32()), pa.array(band_keys(x, m, hashes, count).ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(Codes.of(x).stored(), pa.binary()), keys], names=["g", "code", "keys"])
+
+    codes = cut(groups.select("g", "raw").mapInArrow(encode, "g long, code binary, keys array<long>"))
+    counts = codes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    hot = cut(counts.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    rows = codes.select("g", "code", F.explode("keys").alias("key"))
+    own = F.pmod(F.xxhash64("g"), F.coalesce("chunks", F.lit(1))).cast("int")
+    chunked = rows.join(small(hot), "key", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    placed = chunked.select("key", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), "own", "g", "code")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(columns, pairs in groups, crossing) of whole groups whose vectors have one dimension."""
+        for columns in key_runs(batches, 3):
+            dim = columns[0] >> 42
+            for d in np.unique(dim):
+                key, ci, cj, chunk, *rest = (c[dim == d] for c in columns)
+                start, stop = key_edges(key, ci, cj)
+                crossing = ci != cj
+                yield (key, ci, cj, chunk, *rest), _pairs_of(start, stop, chunk, crossing[start]), crossing
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, pairs, crossing in runs(batches):
+            stored = Codes.read(list(columns[5]))
+            open_ = np.zeros(len(crossing), bool)
+            for i, j in pairs:
+                i, j = _chosen(i, j, lambda a, b: stored.may_reach(a, b, threshold), columns[3], crossing)
+                open_[i] = open_[j] = True
+            if open_.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[open_]) for c in columns[:5]], names=["key", "ci", "cj", "own", "g"])
+
+    names = "key long, ci int, cj int, own int, g long"
+    order = ("key", "ci", "cj", "g")
+    open_rows = cut(placed.repartition(n, "key", "ci", "cj").sortWithinPartitions(*order).mapInArrow(estimate, names))
+    fetched = open_rows.join(groups.select("g", "mult", "raw"), "g").select("key", "ci", "cj", "own", "g", "mult", "raw")
+
+    def recompute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, _, _, chunk, g, mult, raw), pairs, crossing in runs(batches):
+            x = unit(_matrix(raw, kind))
+            keys = band_keys(x, m, hashes, count)
+            band = (key >> 31) & 0x7FF
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             for i, j in pairs:
-                np.add.at(weight, i, mult[index[j]])
-                np.add.at(weight, j, mult[index[i]])
-            root = _roots(len(index), pairs)
-            some = weight > 0
-            out.append((g[index[some]], weight[some], g[index[root[some]]]))
-
-        size = stop - start
-        # small groups together: all their pairs in one list; a group has one dimension, as its key holds it
-        tiny = np.flatnonzero((size > 1) & (size <= 48))
-        by_dim: dict[int, list[int]] = {}
-        for t in tiny:
-            by_dim.setdefault(int(key[start[t]] >> 42), []).append(t)
-        for some in by_dim.values():
-            for s in range(0, len(some), 2000):
-                ts = some[s : s + 2000]
-                index = np.concatenate([np.arange(start[t], stop[t]) for t in ts])
-                x = unit(_matrix(batch.column(6).take(pa.array(index))))
-                first = np.concatenate([[0], np.cumsum(size[ts])])[:-1]
-                tri = [np.triu_indices(size[t], 1) for t in ts]
-                i = np.concatenate([a + f for (a, _), f in zip(tri, first)])
-                j = np.concatenate([b + f for (_, b), f in zip(tri, first)])
-                may = Codes(x).may_reach(i, j, threshold)
-                i, j = i[may], j[may]
-                i, j = _exact(x, i, j, None, threshold)
-                if len(i):
-                    rows_ = np.unique(np.concatenate([i, j]))
-                    keys = np.zeros((len(x), 0)) if not count else np.full((len(x), count), -1)
-                    keys[rows_] = band_keys(x[rows_], bits, count)
-                    same = keys[i] == keys[j]
-                    band = (key[index[i]] >> 31) & 0x7FF
-                    fresh = same.argmax(axis=1) == band
-                    settle(index, [(i[fresh], j[fresh])])
-        for t in np.flatnonzero(size > 48):
-            index = np.arange(start[t], stop[t])
-            x = unit(_matrix(batch.column(6).slice(start[t], size[t])))
-            settle(index, list(_judge(x, key[start[t]], chunk[index], ci[start[t]] != cj[start[t]], threshold, bits, count)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["g", "n", "root"])
-
-    found = cut(dealt.mapInArrow(judge, "g long, n long, root long"))
+                block = lambda a, b: x[a[:, 0]] @ x[b[0]].T >= threshold - 1e-9 if a.ndim == 2 else np.ones(len(a), bool)
+                i, j = _chosen(i, j, block, chunk, crossing)
+                for c in range(0, len(i), 100_000):
+                    a, b = i[c : c + 100_000], j[c : c + 100_000]
+                    linked = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                    a, b = a[linked], b[linked]
+                    fresh = (keys[a] == keys[b]).argmax(axis=1) == band[a]  # the first band that the pair shares
+                    found.append((a[fresh], b[fresh]))
+            i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, int)]) for k in range(2))
+            if not len(i):
+                continue
+            weight = np.bincount(i, weights=mult[j], minlength=len(g)) + np.bincount(j, weights=mult[i], minlength=len(g))
+            some = np.flatnonzero(weight)
+            yield pa.RecordBatch.from_arrays([pa.array(g[some]), pa.array(weight[some].astype(np.int64)), pa.array(g[_roots(len(g), i, j)[some]])], names=["g", "n", "root"])
+
+    dealt = fetched.repartition(n, "key", "ci", "cj").sortWithinPartitions(*order)
+    found = cut(dealt.mapInArrow(recompute, "g long, n long, root long"))
     return found.groupBy("g").agg(F.sum("n").alias("n")), found.select(F.col("g").alias("a"), F.col("root").alias("b")).distinct()
 
 
 def embedding_components(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id) per row of (vec_id, embedding)."""
-    seen, groups = _groups(embeddings)
-    links, edges = near_links(groups, threshold)
+    seen, groups, kind = _groups(embeddings)
+    links, edges = near_links(groups, threshold, kind)
     roots = connected_components(edges)
     g = groups.select("g", "d1", "d2", "rep", "mult").join(links, "g", "left").join(roots, F.col("g") == F.col("node"), "left")
-    g = g.select("d1", "d2", "rep", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "g").alias("root"))
-    named = g.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = g.join(named, "root").select("d1", "d2", "n_links", "component_id")
-    return seen.join(known, ["d1", "d2"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
-    )
+    g = cut(g.select("d1", "d2", "rep", "mult", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "g").alias("root")))
+    named = cut(g.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")))
+    known = cut(join_by_weight(g, named, ["root"], "members").select("d1", "d2", "mult", "n_links", "component_id"))
+    columns = ("vec_id", "n_links", "component_id")
+    linked = join_by_weight(seen.where("d1 is not null"), known, ["d1", "d2"], "mult").select(*columns)
+    return linked.unionByName(seen.where("d1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,13 @@ def test_large_groups_are_cut_into_chunks(spark, monkeypatch):
     assert not wrong
 
 
+def test_group_that_ends_in_a_block_of_one(spark):
+    rng = np.random.default_rng(1)
+    vs = clusters(rng, 1, 513, noise=0.05)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    assert {(r.n_links, r.component_id) for r in emb.embedding_components(df).collect()} == {(512, 0)}
+
+
 def test_odd_rows(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (None, [1.0, 0.0]), (2, [1.0, 0.0]), (11, [1.0, 0.0, 0.0]), (12, [1.0, 0.0, 0.001]), (13, [1e-30, 0.0])]
@@ -75,21 +82,36 @@ def test_empty_table(spark):
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
-    x = emb.unit(rng.standard_normal((600, 64)))
-    c = emb.Codes(x)
-    true = x @ x.T
-    estimate = c.code @ c.rotated.T / c.factor[:, None]
-    off = ~np.eye(600, dtype=bool)
-    error = (estimate - true)[off]
-    assert abs(error.mean()) < 0.002
-    assert (np.abs(estimate - true) <= emb.EPSILON * c.spread[:, None])[off].mean() > 0.99999
+    for dim in (64, 40, 200):
+        x = emb.unit(rng.standard_normal((400, dim)))
+        c = emb.Codes.read(emb.Codes.of(x).stored())
+        i = np.arange(400)
+        estimate, deviation = c.estimates(i[:, None], i[None])
+        error = (estimate - x @ x.T)[~np.eye(400, dtype=bool)]
+        assert abs(error.mean()) < 0.002
+        bound = (emb.EPSILON * deviation)[~np.eye(400, dtype=bool)]
+        assert (np.abs(error) <= bound).mean() > 0.99999
+        # the bound is of use: it dismisses nearly all unrelated pairs
+        assert c.may_reach(i[:, None], i[None], 0.95)[~np.eye(400, dtype=bool)].mean() < 0.1
+
+
+def test_estimates_dismiss_no_pair_at_the_threshold():
+    a, b = at_cosine(20_000, 0.95, 64)
+    c = emb.Codes.of(np.concatenate([a, b]))
+    i = np.arange(20_000)
+    assert c.may_reach(i, i + 20_000, 0.95).all()
+
+
+def at_cosine(n, cosine, dim):
+    rng = np.random.default_rng(5)
+    a = emb.unit(rng.standard_normal((n, dim)))
+    r = rng.standard_normal((n, dim))
+    r = emb.unit(r - (r * a).sum(axis=1, keepdims=True) * a)
+    return a, cosine * a + math.sqrt(1 - cosine**2) * r
 
 
 def test_recall_of_bands_at_the_threshold():
-    rng = np.random.default_rng(5)
-    bits, count = emb.bands(20_000)
-    a = emb.unit(rng.standard_normal((2000, 64)))
-    r = rng.standard_normal((2000, 64))
-    r = emb.unit(r - (r * a).sum(axis=1, keepdims=True) * a)
-    b = 0.95 * a + math.sqrt(1 - 0.95**2) * r
-    assert (emb.band_keys(a, bits, count) == emb.band_keys(b, bits, count)).any(axis=1).mean() > 0.999
+    for n, dim in ((500, 64), (20_000, 64), (20_000, 16), (5_000_000, 128), (10**9, 64)):
+        m, hashes, count = emb.bands(n)
+        a, b = at_cosine(3000, 0.95, dim)
+        assert (emb.band_keys(a, m, hashes, count) == emb.band_keys(b, m, hashes, count)).any(axis=1).mean() > 0.999
