@@ -5,8 +5,9 @@ numbers, telephone numbers, IPv4 addresses), calendar dates and the local parts
 of e-mail addresses are replaced within their own format by a keyed Feistel
 permutation: digits stay digits, separators stay, check digits are recomputed
 and validity holds after the change.  Equal values under one key have equal
-pseudonyms in every document, however their separators differ; whoever holds
-the key can invert them (``PiiCipher.reveal``).
+pseudonyms in every document, however their separators (and for dates the order
+and width of day and month) differ; whoever holds the key can invert them
+(``PiiCipher.reveal``).  Slashed dates are day first unless that is no date.
 
 The permutation is a ten-round Feistel network over the value's domain with
 keyed BLAKE2b as round function; values that fall outside the domain or fail
@@ -19,7 +20,9 @@ each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import math
 import re
@@ -35,17 +38,19 @@ KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "date")
 #: Key of the registered query; callers pass their own.
 DEMO_KEY = b"cairnframe demonstration key"
 _ROUNDS = 10
+#: Values a cipher remembers; speed only.
+_MEMO = 100_000
 _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900-01-01 to 2099-12-31
 
 # (kind, pattern) in order of precedence; a match must pass its validator below.
 _PATTERNS = [
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("card", re.compile(r"(?<![\dA-Za-z.+-])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])")),
-    ("ssn", re.compile(r"(?<![\dA-Za-z-])\d{3}-\d{2}-\d{4}(?![\dA-Za-z-])")),
-    ("ip", re.compile(r"(?<![\dA-Za-z.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\dA-Za-z]|\.\d)")),
-    ("date", re.compile(r"(?<![\dA-Za-z./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\dA-Za-z]|[./-]\d)")),
-    ("phone", re.compile(r"(?<![\dA-Za-z+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\dA-Za-z])")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", re.A)),
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A)),
+    ("card", re.compile(r"(?<![\dA-Za-z.+-])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])", re.A)),
+    ("ssn", re.compile(r"(?<![\dA-Za-z-])\d{3}-\d{2}-\d{4}(?![\dA-Za-z-])", re.A)),
+    ("ip", re.compile(r"(?<![\dA-Za-z.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\dA-Za-z]|\.\d)", re.A)),
+    ("date", re.compile(r"(?<![\dA-Za-z./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\dA-Za-z]|[./-]\d)", re.A)),
+    ("phone", re.compile(r"(?<![\dA-Za-z+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\dA-Za-z])", re.A)),
 ]
 _HAS = re.compile(r"[0-9@]").search
 #: Characters of an IBAN by country.
@@ -56,12 +61,28 @@ _IBAN_LENGTHS = {
         for x in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30".split()
     )
 }
-_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?= ?[A-Z0-9])")
-_CARD_RUN = re.compile(r"(?<![\dA-Za-z])\d+(?:[ -]\d+)*")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?= ?[A-Z0-9])", re.A)
+_CARD_RUN = re.compile(r"(?<![\dA-Za-z])\d+(?:[ -]\d+)*", re.A)
 #: Groups of digits as cards are written; other windows of groups come after these.
 _CARD_SHAPES = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3])
 
 
+@functools.lru_cache(maxsize=1)
+def _calendar() -> tuple[list[tuple[tuple[int, bool], int]], dict[tuple[int, bool], list[int]]]:
+    """(class and number in it of every day, days of each class).
+
+    Days of a class are written alike in every format: their day and month have as many digits, and
+    none or all could be taken for a month.
+    """
+    place, members = [], {}
+    for n in range(_DAYS):
+        d = datetime.date.fromordinal(_FIRST + n)
+        c = (0 if d.day < 10 else 1 if d.day <= 12 else 2, d.month >= 10)
+        place.append((c, len(members.setdefault(c, []))))
+        members[c].append(n)
+    return place, members
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
@@ -132,34 +153,43 @@ class PiiCipher:
 
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
+        self.memo: dict[tuple, int] = {}
 
-    def _round(self, tweak: bytes, i: int, half: int, bits: int) -> int:
-        data = tweak + bytes([i]) + half.to_bytes((bits + 7) // 8, "little")
+    def _round(self, keyed, i: int, half: int, bits: int) -> int:
         out = b""
         while len(out) * 8 < bits:
-            out += hashlib.blake2b(data + len(out).to_bytes(2, "little"), key=self.key, digest_size=64).digest()
+            h = keyed.copy()
+            h.update(bytes([i, len(out) & 255, len(out) >> 8]) + half.to_bytes((bits + 7) // 8, "little"))
+            out += h.digest()
         return int.from_bytes(out, "little") & ((1 << bits) - 1)
 
-    def _feistel(self, n: int, bits: int, tweak: bytes, back: bool) -> int:
+    def _feistel(self, n: int, bits: int, keyed, back: bool) -> int:
         low = (1 << bits) - 1
         a, b = n >> bits, n & low
         for i in reversed(range(_ROUNDS)) if back else range(_ROUNDS):
             if back:
-                a, b = b ^ self._round(tweak, i, a, bits), a
+                a, b = b ^ self._round(keyed, i, a, bits), a
             else:
-                a, b = b, a ^ self._round(tweak, i, b, bits)
+                a, b = b, a ^ self._round(keyed, i, b, bits)
         return a << bits | b
 
     def permute(self, n: int, size: int, tweak: str, back: bool = False, valid: Callable[[int], bool] | None = None) -> int:
-        """Image of n in 0..size-1; only values for which ``valid`` holds are ever returned."""
+        """Image of n in 0..size-1; only values for which ``valid`` holds are ever returned. One ``valid`` goes with one tweak."""
         if size <= 1:
             return n
+        asked = (n, size, tweak, back)
+        if (known := self.memo.get(asked)) is not None:
+            return known
         bits = max(1, ((size - 1).bit_length() + 1) // 2)
-        t = tweak.encode()
+        keyed = hashlib.blake2b(len(tweak.encode()).to_bytes(2, "little") + tweak.encode(), key=self.key, digest_size=64)
         while True:
-            n = self._feistel(n, bits, t, back)
+            n = self._feistel(n, bits, keyed, back)
             if n < size and (valid is None or valid(n)):
-                return n
+                break
+        if len(self.memo) >= _MEMO:
+            self.memo.clear()
+        self.memo[asked] = n
+        return n
 
     def _symbols(self, s: str, tweak: str, back: bool, valid: Callable[[str], bool] | None = None) -> str:
         """Characters permuted within their classes: digits, lower-case, upper-case letters."""
@@ -228,8 +258,10 @@ class PiiCipher:
         return s[:head] + _spread(s[head:], self._symbols(d, "phone" + ("1" if nanp else country), back, good if nanp else None))
 
     def date(self, s: str, back: bool) -> str | None:
-        a, b, c = (int(x) for x in re.split("[-/.]", s))
-        y, m, d = (a, b, c) if "-" in s else (c, b, a)
+        """One permutation of the calendar for all ways to write a date; day, month and year keep their widths."""
+        one, two, three = re.split("[-/.]", s)
+        iso = "-" in s
+        y, m, d = (int(one), int(two), int(three)) if iso else (int(three), int(two), int(one))
         swapped = m > 12 >= d and "/" in s
         if swapped:
             m, d = d, m
@@ -239,35 +271,39 @@ class PiiCipher:
             return None
         if not 0 <= n < _DAYS:
             return None
-        keep = (lambda k: (x := datetime.date.fromordinal(_FIRST + k)).day > 12) if swapped else None
-        new = datetime.date.fromordinal(_FIRST + self.permute(n, _DAYS, "date" + "s" * swapped, back, keep))
-        if "-" in s:
+        place, members = _calendar()
+        c, k = place[n]
+        new = datetime.date.fromordinal(_FIRST + members[c][self.permute(k, len(members[c]), f"date{c}", back)])
+        if iso:
             return new.isoformat()
         sep = "/" if "/" in s else "."
-        one, two = (new.month, new.day) if swapped else (new.day, new.month)
-        return f"{one:02d}{sep}{two:02d}{sep}{new.year:04d}"
+        a, b = (new.month, new.day) if swapped else (new.day, new.month)
+        return f"{a:0{len(one)}d}{sep}{b:0{len(two)}d}{sep}{new.year:04d}"
 
     def replace(self, text: str, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
         """(new text, spans of the old one as (start, end, kind))."""
         if not _HAS(text):
             return text, []
-        taken: list[tuple[int, int, str, str]] = []
+        taken: list[tuple[int, int, str, str]] = []  # by start; of kinds before this one
         for kind, pattern in _PATTERNS:
             if kind == "email" and "@" not in text:
                 continue
             act = getattr(self, kind)
-            for m in pattern.finditer(text) if kind not in ("card", "iban") else ():
-                i, j = m.span()
-                if any(i < e and j > s for s, e, _, _ in taken):
+            windows = {"card": _card_windows, "iban": _iban_windows}.get(kind)
+            starts = [t[0] for t in taken]
+            mine: list[tuple[int, int, str, str]] = []
+            for i, j in windows(text) if windows else (m.span() for m in pattern.finditer(text)):
+                # spans do not overlap, so only the last that starts before j can reach beyond i
+                k = bisect.bisect_left(starts, j) - 1
+                if k >= 0 and taken[k][1] > i:
+                    continue
+                at = bisect.bisect_left(mine, (j,))
+                if at and mine[at - 1][1] > i:
                     continue
-                new = act(m[0], back)
+                new = act(text[i:j], back)
                 if new is not None:
-                    taken.append((i, j, kind, new))
-            if kind in ("card", "iban"):
-                for i, j in _card_windows(text) if kind == "card" else _iban_windows(text):
-                    if not any(i < e and j > s for s, e, _, _ in taken) and (new := act(text[i:j], back)) is not None:
-                        taken.append((i, j, kind, new))
-        taken.sort()
+                    mine.insert(at, (i, j, kind, new))
+            taken = sorted(taken + mine) if mine else taken
         out, at = [], 0
         for i, j, _, new in taken:
             out += (text[at:i], new)

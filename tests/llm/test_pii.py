@@ -38,6 +38,37 @@ def test_equal_values_stay_linked():
     assert pii.PiiCipher(b"other").replace(TEXT)[0] != new
 
 
+def test_dates_are_one_calendar():
+    rnd = random.Random(4)
+    for _ in range(3000):
+        d = datetime.date(1900, 1, 1) + datetime.timedelta(rnd.randrange(73_000))
+        forms = [d.isoformat(), f"{d.day}/{d.month}/{d.year}", f"{d.day:02d}/{d.month:02d}/{d.year}", f"{d.day}.{d.month:02d}.{d.year}"]
+        if d.day > 12:
+            forms += [f"{d.month:02d}/{d.day}/{d.year}", f"{d.month}/{d.day}/{d.year}"]
+        new = [C.replace(f)[0] for f in forms]
+        assert [[len(x) for x in n.replace("-", "/").replace(".", "/").split("/")] for n in new] == [[len(x) for x in f.replace("-", "/").replace(".", "/").split("/")] for f in forms]
+        y, m, k = map(int, new[0].split("-"))
+        assert {tuple(map(int, n.replace(".", "/").split("/"))) for n in new[1:4]} == {(k, m, y)}
+        assert {tuple(map(int, n.split("/"))) for n in new[4:]} <= {(m, k, y)}
+        assert [C.reveal(n) for n in new] == forms
+
+
+def test_many_matches_in_one_text():
+    import time
+
+    rnd = random.Random(5)
+    text = " ".join((datetime.date(1900, 1, 1) + datetime.timedelta(rnd.randrange(73_000))).isoformat() for _ in range(40_000))
+    pii._calendar()
+    begin = time.process_time()
+    new, spans = pii.PiiCipher(b"z").replace(text)
+    assert len(spans) == 40_000 and time.process_time() - begin < 4
+
+
+def test_digits_of_other_scripts_are_text():
+    for t in ("٢٠٢٠-٠٣-٢٥", "１２３-４５-６７８９", "4111 1111 1111 111١", "x²³¹²³¹²³¹²³¹²³¹"):
+        assert C.replace(t) == (t, [])
+
+
 def test_permutation_is_a_bijection():
     for size in (2, 3, 10, 97, 1000, pii._DAYS // 50):
         assert sorted(C.permute(n, size, "t") for n in range(size)) == list(range(size))
