@@ -4,10 +4,11 @@ Every unit vector o is padded and rotated by one shared random rotation P; once,
 and stored: the packed signs s of P o, the correction factor f = <s / sqrt(D), P o>, and P o in
 four bits a component (randomised rounding, packed as bit planes).  For two vectors o and q
 <s / sqrt(D), P q> / f, taken from o's signs and q's planes by bit counts, estimates <o, q> without
-bias, and EPSILON standard deviations, (1 - f^2) / f^2 / (D - 1) for the signs and a quarter of a
-step squared for the rounding, bound its error with confidence.  A pair whose estimate plus bound
-stays below the threshold is dismissed on the codes alone; only for the others are the vectors
-themselves fetched and the cosine computed in double precision.
+bias, and EPSILON standard deviations bound its error with confidence: the variance is
+(1 - f^2) / f^2 / (D - 1) times 1 - <o, q>^2 for the signs, and a quarter of a step squared for the
+rounding.  A pair whose estimate plus bound stays below the threshold is dismissed on the codes
+alone; only for the others are the vectors themselves fetched and the cosine computed in double
+precision.
 
 Which pairs are estimated: codes are filed under bands.  A band is a few cross-polytope hashes:
 each names the one of ``2 m`` random directions that is nearest.  Their number follows from the
@@ -43,7 +44,7 @@ from cairnframe.llm.common import connected_components, cut, join_by_weight, key
 THRESHOLD = 0.95
 EPSILON = 5.0
 MISS = 1e-6
-CHUNK = 1024
+CHUNK = 512
 SEED = 977
 #: Unrelated vectors that a band key should hold.
 PER_KEY = 64
@@ -141,19 +142,26 @@ class Codes:
         whole = np.ascontiguousarray(raw[:, : words * 8 * (1 + PLANES)]).view("<u8")
         return cls(whole[:, :words], whole[:, words:].reshape(len(raw), PLANES, words), np.ascontiguousarray(raw[:, -16:]).view("<f4"))
 
-    def estimates(self, i, j) -> tuple[np.ndarray, np.ndarray]:
-        """(estimated inner product, its standard deviation) of vectors i (signs) and j (planes); i and j broadcast."""
+    def estimates(self, i, j, beside: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(estimated inner product, its standard deviation) of vectors i (signs) and j (planes); i and j broadcast.
+
+        ``beside`` is the length of j's part that is orthogonal to i, at most.
+        """
         inner = 0
         for w in range(self.signs.shape[1]):
             mine = self.signs[i, w]
             for k in range(PLANES):
                 inner = inner + (np.bitwise_count(mine & self.planes[j, k, w]).astype(np.int32) << k)
         rotated = self.low[j] * (2 * self.ones[i] - self.width) + self.step[j] * (2 * inner - self.sum[j])
-        return rotated / (math.sqrt(self.width) * self.factor[i]), np.sqrt(self.spread[i] + self.rounding[j] / self.factor[i] ** 2)
+        return rotated / (math.sqrt(self.width) * self.factor[i]), np.sqrt(self.spread[i] * beside**2 + self.rounding[j] / self.factor[i] ** 2)
 
     def may_reach(self, i, j, threshold: float) -> np.ndarray:
-        """Pairs whose confidence bound reaches the threshold."""
-        estimate, deviation = self.estimates(i, j)
+        """Pairs whose confidence bound reaches the threshold.
+
+        The error of the signs lies in what the other vector has besides this one, which at the
+        threshold or above is sqrt(1 - threshold^2) at most.
+        """
+        estimate, deviation = self.estimates(i, j, math.sqrt(1 - min(1.0, threshold) ** 2))
         return estimate + EPSILON * deviation >= threshold
 
 
