@@ -180,7 +180,7 @@ def span_string(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with every span replaced by ``mark``; spans that touch the one before are merged."""
+    """The text with every span replaced by ``mark``; spans that overlap the one before are merged."""
     blocks = _blocks(spans)
     stops = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["stop"])))
     reach = _before(stops, lambda a, b: F.greatest(a, b))  # how far the blocks before have come
@@ -191,7 +191,7 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
         def step(acc, s):
             between = F.substring(acc["piece"], acc["at"] - at + 1, s["start"] - acc["at"])
-            fresh = (s["start"] > acc["at"]) | (s["start"] + acc["at"] == 0)
+            fresh = s["start"] >= acc["at"]
             return F.struct(
                 acc["piece"].alias("piece"),
                 F.greatest(acc["at"], s["stop"]).alias("at"),

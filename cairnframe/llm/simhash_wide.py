@@ -160,7 +160,7 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
                 for c in range(0, len(at), max(1, 1_000_000 // len(i))):
                     x = (at[c : c + max(1, 1_000_000 // len(i)), None] + i).ravel()
                     y = (at[c : c + max(1, 1_000_000 // len(i)), None] + j).ravel()
-                    near = np.bitwise_count(code[x] ^ code[y]) <= most_of_64
+                    near = np.bitwise_count((code[x] ^ code[y]).view(np.uint64)) <= most_of_64  # of signed numbers it would count the absolute value
                     out.append((node[x[near]], node[y[near]]))
             if out:
                 a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -328,10 +328,12 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     """(rid, doc_id, component, kept) of rows (rid, doc_id, text); rid is any unique long."""
     bits = segment_bits(None)
     rows = cut(_fingerprints(docs, shingle, bits))
-    nodes = cut(rows.groupBy("digest").agg(F.min("rid").alias("node"), F.any_value("fp").alias("fp"), F.any_value("low").alias("low")))
+    nodes = cut(rows.groupBy("digest").agg(F.min("rid").alias("node"), F.any_value("fp").alias("fp"), F.any_value("low").alias("low"), F.count("*").alias("n")))
     candidates = cut(connected_components(wide_links(nodes, bits, similarity)))
     roots = connected_components(similar_links(docs, nodes, candidates, similarity, shingle))
-    rooted = nodes.join(roots, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    grouped = cut(rows.select("rid", "doc_id", "digest").join(rooted, "digest").select("rid", "doc_id", "component"))
-    best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("component", F.col("best.rid").alias("best"))
-    return grouped.join(best, "component").select("rid", "doc_id", "component", (F.col("rid") == F.col("best")).alias("kept"))
+    rooted = cut(nodes.join(roots, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component")))
+    grouped = cut(join_by_weight(rows.select("rid", "doc_id", "digest"), rooted, ["digest"], "n").select("rid", "doc_id", "component"))
+    # one row of each component; joined by the row, which is unique, not by the component
+    best = grouped.groupBy("component").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("rid"))
+    kept = best.select("rid", F.lit(True).alias("kept"))
+    return grouped.join(kept, "rid", "left").select("rid", "doc_id", "component", F.coalesce("kept", F.lit(False)).alias("kept"))
