@@ -42,6 +42,12 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
+def shingles(text):
+    """Five words a shingle, A-Z lower-cased; of fewer words all of them."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 @pytest.mark.parametrize("crowd,bits", [(8, 20), (2, 24)])
 def test_near_copies_one_stays(spark, monkeypatch, crowd, bits):
     monkeypatch.setattr(wide, "CROWD", crowd)
@@ -119,17 +125,15 @@ def test_run_against_brute_force(spark, sf):
                 holders.setdefault(key(line), set()).add(r["doc_id"])
     for r in rows:
         r["text"] = "\n".join(x for x in r["text"].split("\n") if len(holders.get(key(x), ())) < 5 or max(holders[key(x)]) == r["doc_id"])
-    kept = []
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        fp = wide.wide_simhash(r["text"])[0]
-        kept.append((r, fp))
+    kept = sorted(rows, key=lambda r: r["doc_id"])
+    sets = [shingles(r["text"]) for r in kept]
     root = list(range(len(kept)))
     for i in range(len(kept)):
         for j in range(i):
-            if np.bitwise_count(kept[i][1] ^ kept[j][1]).sum() <= wide.most_differing():
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = [min(a, b) if x in (a, b) else x for x in root]
-    left = [kept[i][0] for i in range(len(kept)) if root[i] == i]
+    left = [kept[i] for i in range(len(kept)) if root[i] == i]
     tokens = {}
     from cairnframe.llm import secrets
 
