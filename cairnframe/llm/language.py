@@ -7,10 +7,12 @@ how well it does on that language in training; the nearest codeword wins, and a
 small lead over the second marks the result as ambiguous.
 
 Training uses a bounded sample: per language the ``SAMPLE_PER_LANGUAGE``
-documents with the least hash of doc_id, whole texts (an id that repeats brings
-all its rows).  Feature counts are made on the executors; only those vectors
-reach the driver.  Prediction is one
-narrow pass over all texts with a model of fixed size.
+documents with the least hash of doc_id, whole texts, fewer where
+``SAMPLE_ROWS`` over all languages would be passed (but ``LEAST_PER_LANGUAGE``);
+of an id that repeats one row a language is taken.  Feature counts are made on
+the executors; only those vectors reach the driver.  Prediction is one narrow
+pass over all texts with a model of fixed size; n-grams are those of the whole
+text, however it is cut into slices.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
 null languages are not learned from; if nothing can be learned every text is
@@ -33,6 +35,9 @@ from pyspark.sql import functions as F
 from cairnframe.llm.common import cut, small, table, text_slices
 
 SAMPLE_PER_LANGUAGE = 300
+#: Rows of the sample in all: 32 KB of features each on the driver, twice.
+SAMPLE_ROWS = 6000
+LEAST_PER_LANGUAGE = 8
 #: Hashed features per n-gram order.
 BUCKETS = 4096
 CODE_BITS = 31
@@ -74,11 +79,15 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def features(text: str) -> np.ndarray:
-    """Relative frequency of each hashed n-gram of one text."""
+    """Relative frequency of each hashed n-gram of one text, slice by slice."""
     total = np.zeros(2 * BUCKETS + 1)
+    count = lambda part: np.bincount(_grams([part])[0], minlength=2 * BUCKETS + 1)
+    text = text.lower()
     for i in range(0, max(1, len(text)), _SLICE):
-        index, _, _ = _grams([text[i : i + _SLICE]])
-        total += np.bincount(index, minlength=2 * BUCKETS + 1)
+        # a slice reaches two characters into the next one; what lies within these two counts there
+        total += count(text[i : i + _SLICE + 2])
+        if i + _SLICE < len(text):
+            total -= count(text[i + _SLICE : i + _SLICE + 2])
     total = total[:-1]
     return total / max(1.0, total.sum())
 
@@ -179,12 +188,14 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     labelled = docs.where("lang is not null and doc_id is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("__h"))
     counts = cut(labelled.groupBy("lang").agg(F.count("*").alias("__n")))
     # a hash bound leaves about four times the sample of each language before anything is ordered
-    share = F.least(F.lit(1.0), F.lit(4.0 * per_language + 100) / F.col("__n"))
+    most = max(LEAST_PER_LANGUAGE, min(per_language, SAMPLE_ROWS // max(1, counts.count())))
+    share = F.least(F.lit(1.0), F.lit(4.0 * most + 100) / F.col("__n"))
     likely = labelled.join(small(counts), "lang").where(F.shiftrightunsigned("__h", 11) < share * float(1 << 53))
     order = Window.partitionBy("lang").orderBy("__h", "doc_id")
-    ids = likely.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= per_language).select("doc_id").distinct()
+    ids = likely.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).select("doc_id").distinct()
     ids = small(cut(ids))
-    chosen = docs.where("lang is not null").join(ids, "doc_id", "left_semi").select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    own = docs.where("lang is not null").join(ids, "doc_id", "left_semi").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    chosen = own.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

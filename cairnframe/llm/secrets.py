@@ -163,9 +163,10 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     found = found.withColumn("__base", F.array_sort(base))
     # tokens are sought in what the base rules leave
     left = F.coalesce(_masked(F.col("__h0"), enough), F.col("__text"))
-    for pattern in (ACCESS, HEX):
+    for pattern, hits in ((ACCESS, "__h1"), (HEX, "__h2")):
         found = found.withColumn("__text", left)
-        left = F.when(F.col("__text").rlike(pattern), _masked(_hits(F.col("__text"), pattern), lambda hit: hit.isNotNull())).otherwise(F.col("__text"))
+        # what is masked already can only take matches away
+        left = F.when(F.col(hits).isNotNull(), _masked(_hits(F.col("__text"), pattern), lambda hit: hit.isNotNull())).otherwise(F.col("__text"))
     found = found.withColumn("__text", left)
     found = found.withColumn("__h3", F.when(F.col("__text").rlike(TOKEN), _hits(F.col("__text"), TOKEN)))
     table_ = _table(model)

@@ -94,3 +94,32 @@ def test_all_pairs_of_a_band_key(spark):
     for chunk in (1, 64):
         links = fpm.band_links(spark.createDataFrame(rows, "node long, fingerprint string, key long"), chunk=chunk).collect()
         assert {tuple(sorted(r)) for r in links} == {(1, 3)}
+
+
+def test_groups_of_a_batch_change_nothing(spark, tmp_path, monkeypatch):
+    """Texts beyond the size of a group, and groups within a batch."""
+    monkeypatch.setattr(fpm, "_GROUP_CHARS", 150)
+    rnd = random.Random(2)
+    rows = [(i, "".join(rnd.choice("abcd ") for _ in range(rnd.choice([0, 5, 60, 149, 150, 151, 700]))), "en", "s", 1) for i in range(70)]
+    docs = documents(spark, rows).coalesce(2)
+    check([r[:2] for r in rows], fpm.successor_fingerprints(docs).collect())
+    assert {r.doc_id: r.fingerprint for r in fpm.fingerprints(docs).collect()} == {d: fpm.fingerprint_string(walk_one(t)) for d, t, *_ in rows}
+
+
+def test_recall_of_bands_over_all_close_pairs(spark):
+    """All pairs of a table whose likeness is 0.8 or more, found by brute force, against the bands."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    fps = {r.doc_id: fpm.parse(r.fingerprint) for r in fpm.fingerprints(docs).collect()}
+    got = {r.doc_id: r.component_id for r in fpm.near_documents(docs).collect()}
+    ids = sorted(fps)
+    close = linked = 0
+    for i, a in enumerate(ids):
+        some = [b for b in ids[:i] if 0.75 < (fps[b][0] + 1) / (fps[a][0] + 1) < 1.34]
+        for b in some:
+            if fpm.likeness(fps[a], fps[b]) >= fpm.LIKENESS:
+                close += 1
+                linked += got[a] == got[b]
+    assert close > 50 and linked >= 0.98 * close
+    assert np.mean([got[d] == d for d in ids]) > 0.5
