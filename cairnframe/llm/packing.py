@@ -45,9 +45,11 @@ SLACK = 4
 #: Windows that one task merges at most (8 KB of ids each).
 MERGE_WINDOWS = 2048
 #: Distinct parts in each half of a worker's memory; they change speed only.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 CACHE_CHARS = 64
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
+#: Pieces, and ids with them, that a task gathers before it passes them on.
+_ROWS, _IDS = 4096, 500_000
 #: Signs that close a word: one run of them is one word of the vocabulary's pattern (the apostrophe has rules of its own).
 SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -267,12 +269,13 @@ def pack(docs: DataFrame, path: str | None = None, keep_ids: bool = False, windo
         tokenizer = _tokenizer(path)
         base = TaskContext.get().partitionId() << 36
         done: list[tuple] = []
-        count = 0
+        count = held = 0
 
         def emit(pieces: list) -> None:
-            nonlocal count
+            nonlocal count, held
             done.extend((*row, True) for row in _rows(pieces, base + count, keep_ids))
             count += 1
+            held += window if keep_ids else 0
 
         windows = OpenWindows(emit, window)
         for batch in batches:
@@ -280,9 +283,10 @@ def pack(docs: DataFrame, path: str | None = None, keep_ids: bool = False, windo
             for first, texts in text_slices((t.as_py() for t in batch.column(1)), SLICE_CHARS):
                 for doc_id, ids in zip(ids_of[first:], tokenizer.encode(texts)):
                     windows.add(doc_id, ids)
-                    if len(done) >= 4096:
+                    if len(done) >= _ROWS or held >= _IDS:
                         yield _sealed(done)
                         done.clear()
+                        held = 0
         for pieces in windows.leftovers():
             done.extend((*row, False) for row in _rows(pieces, base + count, True))
             count += 1

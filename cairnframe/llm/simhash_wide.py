@@ -46,6 +46,8 @@ SEGMENTS = 16
 FLIPS = 5
 CROWD = 8
 CHUNK = 1024
+#: Segments whose crowded keys are compared before it is known what is joined already.
+FIRST_SEGMENTS = 4
 #: Members of a group of candidates in a chunk: the least, and bytes of shingle hashes at most.
 SET_CHUNK = 128
 _SET_BYTES = 1 << 25
@@ -201,11 +203,12 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
         dealt = placed.join(prints, "node").select("key", "own", "other", "node", "fp").repartition(n, "key", "own", "other")
         return dealt.sortWithinPartitions("key", "own", "other", "node").mapInArrow(span, "a long, b long")
 
-    # first inside the chunks of each key
-    inside = plain.unionByName(spanned(chunked.withColumn("other", F.lit(0)))).distinct()
+    # first inside the chunks of keys of some segments: members of one group share many keys, and each more would only repeat their links
+    few = chunked.where(F.shiftright("key", bits) < FIRST_SEGMENTS)
+    inside = plain.unionByName(spanned(few.withColumn("other", F.lit(0)))).distinct()
     roots = cut(connected_components(inside))
-    # then between chunks, but only what is not joined yet: members outside a key's largest component against all others
-    known = cut(chunked.where("chunks > 1").join(roots, "node", "left").select("key", "node", "chunks", "own", F.coalesce("component", "node").alias("component")))
+    # then every key again, between and inside its chunks, but only what is not joined yet: members outside the key's largest component against all others
+    known = cut(chunked.join(roots, "node", "left").select("key", "node", "chunks", "own", F.coalesce("component", "node").alias("component")))
     sizes = known.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
     open_keys = cut(sizes.select("key", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / CHUNK).cast("int").alias("rests")).where("rests > 0"))
     still = known.join(small(open_keys), "key")
