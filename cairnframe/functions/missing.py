@@ -43,7 +43,7 @@ def number_placeholder(c: Column) -> Column:
     """Aggregate struct (needed, is_nan, value).
 
     Without NaN in the column NaN itself can stand for missing; otherwise the first candidate that
-    the column does not hold does (NULL if it holds them all).
+    the column does not hold does (NULL if it holds them all; ``least_free_number`` goes on from there).
     """
     held = F.collect_set(F.when(c.isin(NUMBER_CANDIDATES), c))
     free = F.get(F.filter(F.array(*[F.lit(x) for x in NUMBER_CANDIDATES]), lambda x: ~F.array_contains(held, x)), F.lit(0))
@@ -51,17 +51,35 @@ def number_placeholder(c: Column) -> Column:
     return F.struct(any_missing(c).alias("needed"), (any_missing(c) & ~has_nan).alias("is_nan"), F.when(any_missing(c), F.when(has_nan, free).otherwise(F.lit(float("nan")))).alias("value"))
 
 
-def placeholder(df: DataFrame, column: str):
-    """The placeholder of one column as a Python value, None if nothing is missing. Runs one aggregate."""
+def least_free_number(df: DataFrame, column: str) -> float:
+    """The least of 0, 1, 2, ... that the column does not hold.
+
+    Distinct whole values are numbered by range partitions; the first whose number is not its value
+    leaves a gap below it.
+    """
+    from cairnframe.operators.rows import dense_index
+
+    c = F.col(f"`{column}`").cast("double")
+    whole = df.select(c.alias("v")).where("v >= 0 AND v < 9007199254740992 AND v = floor(v)").select(F.col("v").cast("long").alias("v")).distinct()
+    numbered = dense_index(whole, "n", F.col("v").asc())
+    gap, n = numbered.agg(F.min(F.when(F.col("v") != F.col("n"), F.col("n"))), F.count("*")).first()
+    return float(n if gap is None else gap)
+
+
+def placeholder(df: DataFrame, column: str, version: int = 3):
+    """The placeholder of one column as a Python value, None if nothing is missing. Runs one aggregate.
+
+    Before version 3 of the format missing numbers are always NaN, whether the column holds NaN or not.
+    """
     kind = df.schema[column].dataType
     c = F.col(f"`{column}`")
     if isinstance(kind, T.StringType):
         return df.agg(string_placeholder(c)).first()[0]
     if isinstance(kind, (T.DoubleType, T.FloatType)):
+        if version < 3:
+            return float("nan") if df.agg(any_missing(c)).first()[0] else None
         got = df.agg(number_placeholder(c.cast("double")).alias("p")).first()["p"]
-        if got["needed"] and got["value"] is None:
-            raise ValueError(f"column '{column}' holds every candidate placeholder")
-        return got["value"]
+        return least_free_number(df, column) if got["needed"] and got["value"] is None else got["value"]
     if isinstance(kind, T.BooleanType):
         return BOOLEAN_PLACEHOLDER if df.agg(any_missing(c)).first()[0] else None
     needed, held = df.agg(any_missing(c), F.collect_set(F.when(c.isin(INTEGER_CANDIDATES), c))).first()
@@ -71,9 +89,9 @@ def placeholder(df: DataFrame, column: str):
     return free[0] if needed else None
 
 
-def encode_missing(df: DataFrame, column: str) -> DataFrame:
+def encode_missing(df: DataFrame, column: str, version: int = 3) -> DataFrame:
     """``column`` without NULLs; the placeholder, if there is one, is in its metadata. Booleans become 0 and 1."""
-    value = placeholder(df, column)
+    value = placeholder(df, column, version)
     c = F.col(f"`{column}`")
     if isinstance(df.schema[column].dataType, T.BooleanType):
         c = c.cast("int")
@@ -91,10 +109,16 @@ def decode(c: Column, value, kind: T.DataType | str | None = None) -> Column:
     return out if kind is None else out.cast(kind)
 
 
+def parse_placeholder(text: str | None, kind: T.DataType):
+    """A placeholder as metadata keep it, as a value of its column's type."""
+    if text is None or isinstance(kind, T.StringType):
+        return text
+    return float(text) if isinstance(kind, (T.DoubleType, T.FloatType)) else int(text)
+
+
 def decode_missing(df: DataFrame, column: str, kind: T.DataType | str | None = None) -> DataFrame:
     """Inverse of ``encode_missing`` by the placeholder in the metadata."""
     field = df.schema[column]
-    text = field.metadata.get(PLACEHOLDER_KEY)
-    value = text if text is None or isinstance(field.dataType, T.StringType) else float(text) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else int(text)
+    value = parse_placeholder(field.metadata.get(PLACEHOLDER_KEY), field.dataType)
     rest = {k: v for k, v in field.metadata.items() if k != PLACEHOLDER_KEY}
     return df.withColumn(column, decode(F.col(f"`{column}`"), value, kind)).withMetadata(column, rest)

@@ -133,11 +133,21 @@ def object_dimensions(spark: SparkSession, path: str) -> list[int]:
     return [rows, len(body["data_frame"]["columns"])] if body["type"] == "data_frame" else [rows]
 
 
-def validate_directory(spark: SparkSession, root: str) -> list[str]:
-    """Validates every object of a directory that is no child; returns their paths."""
+def validate_directory(spark: SparkSession, root: str, legacy: bool | None = None, **options) -> list[str]:
+    """Validates every object of a directory that is no child; returns their paths.
+
+    ``legacy``: the older layout, with documents beside the data; None finds out: a directory without any
+    descriptor is one.
+    """
     from cairnframe.operators.catalog import list_objects
+    from cairnframe.sources import legacy as older
     from cairnframe.sources.store import validate_object
 
+    if legacy is None:
+        legacy = not any(n == "OBJECT" or n.endswith("/OBJECT") for n in Files(spark).walk(root))
+    if legacy:
+        older.check_directory(spark, root, **options)
+        return sorted(p for p, m in older.list_directory(spark, root).items() if not m["$schema"].startswith("redirection/"))
     paths = sorted(r["path"] for r in list_objects(spark, root).select("path").collect())
     for p in paths:
         try:

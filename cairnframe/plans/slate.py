@@ -19,7 +19,7 @@ from cairnframe.operators.rows import scratch
 from cairnframe.plans import registry
 from cairnframe.sources import provenance, store, strict_csv
 from cairnframe.sources.files import Files, absolutize_column
-from cairnframe.sources.legacy import strip_nulls
+from cairnframe.sources.legacy import strip_null_documents, strip_nulls
 
 PRIORITIES = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,10 +37,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from cairnframe.plans import slate_more  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -541,12 +544,14 @@ def catalog_missing_path(spark, sf):
     return setrules.missing_paths(_meta(spark, sf), table(spark, sf, "supplier").select(F.concat(F.lit("c/"), F.col("s_suppkey").cast("string"), F.lit("/x")).alias("path")))
 
 
-_NESTED_SQL = "SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'r' || n_regionkey || '/f' WHEN n_nationkey % 4 = 1 THEN 'r' || n_regionkey || '/n' || n_nationkey || '/f' ELSE 'r' || n_regionkey || '-b/n' || n_nationkey || '/f' END AS p FROM nation"
+# the directories r<k>-b stand between r<k> and what lies in it, so that the neighbour form misses some
+_NESTED_SQL = """SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'r' || n_regionkey || '/f' WHEN n_nationkey % 4 = 1 THEN 'r' || n_regionkey || '/n' || n_nationkey || '/f'
+  WHEN n_regionkey % 2 = 0 THEN 'r' || n_regionkey || '-b/n' || n_nationkey || '/f' ELSE 'z/n' || n_nationkey || '/f' END AS p FROM nation"""
 
 
 def _nested(spark, sf):
     r, n, k = F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"), F.col("n_nationkey") % 4
-    path = F.when(k == 0, F.concat(F.lit("r"), r, F.lit("/f"))).when(k == 1, F.concat(F.lit("r"), r, F.lit("/n"), n, F.lit("/f"))).otherwise(F.concat(F.lit("r"), r, F.lit("-b/n"), n, F.lit("/f")))
+    path = F.when(k == 0, F.concat(F.lit("r"), r, F.lit("/f"))).when(k == 1, F.concat(F.lit("r"), r, F.lit("/n"), n, F.lit("/f"))).when(F.col("n_regionkey") % 2 == 0, F.concat(F.lit("r"), r, F.lit("-b/n"), n, F.lit("/f"))).otherwise(F.concat(F.lit("z/n"), n, F.lit("/f")))
     return table(spark, sf, "nation").select(path.alias("path"), F.lit(False).alias("is_child"))
 
 
@@ -628,10 +633,12 @@ def absolutize_path(spark, sf):
     return table(spark, sf, "events").select("event_id", absolutize_column(rel, F.lit("/data")).alias("path"))
 
 
-@query()
+_NULLS = """concat('{"id":', event_id, ',"none":null,"deep":{"a":null,"b":"', event_type, '","c":{"d":null}},"list":[1,2]}')"""
+
+
+@query(f"SELECT event_id, json_merge_patch('{{}}', {_NULLS})::VARCHAR AS document FROM events")
 def metadata_strip_null(spark, sf):
-    props = F.from_json("props", "map<string,string>")
-    return table(spark, sf, "events").select("event_id", F.to_json(F.map_filter(props, lambda k, v: v.isNotNull())).alias("props"))
+    return table(spark, sf, "events").select("event_id", strip_null_documents(F.expr(_NULLS)).alias("document"))
 
 
 @query("SELECT 'pyspark' AS type, true AS has_version")

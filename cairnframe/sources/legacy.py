@@ -1,6 +1,6 @@
 """The older layout: data files with JSON documents beside them, and redirections.
 
-``stage`` writes strict CSV (gzipped) for tables; ``write_metadata`` completes a
+``staging`` has the layout of each kind of object; ``write_metadata`` completes a
 document with the file's MD5 sum.  Catalog questions are answered by the set
 queries of ``operators.setrules`` over ``catalog_frames``.
 """
@@ -10,18 +10,16 @@ from __future__ import annotations
 import json
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.functions.types import check_names
 from cairnframe.operators import setrules
-from cairnframe.operators.rows import scratch
 from cairnframe.plans import registry
-from cairnframe.sources import strict_csv
 from cairnframe.sources.files import Files
 
 # Ids of the documents' schemas.
-FRAME_SCHEMA, REDIRECTION_SCHEMA = "csv_data_frame/v1.json", "redirection/v1.json"
+REDIRECTION_SCHEMA = "redirection/v1.json"
 
 loaders = registry.Registry("loader")
 
@@ -33,33 +31,30 @@ def strip_nulls(value):
     return [strip_nulls(v) for v in value] if isinstance(value, list) else value
 
 
-def stage_object(df: DataFrame, root: str, path: str, child: bool = False) -> dict:
-    """Writes a table below ``root/path`` and returns its document (not yet written)."""
-    spark = df.sparkSession
-    files = Files(spark)
+def stage_object(x, root: str, path: str, child: bool = False, **options) -> dict:
+    """Writes a table or another object of ``store`` below ``root/path`` and returns its document (not yet written)."""
+    from cairnframe.sources import staging, store
+
+    files = Files(store.spark_of(x))
     if "\\" in path:
         raise ValueError(f"'{path}' has a backslash")
     if files.exists(f"{root}/{path}"):
         raise FileExistsError(f"cannot stage at existing path '{path}'")
-    check_names(df.columns)
     if not child:
         up = posixpath.dirname(path)
         while up:
             if any(n.endswith(".json") for n in files.names(f"{root}/{up}")):
                 raise ValueError(f"'{path}' lies inside the object at '{up}' and is no child")
             up = posixpath.dirname(up)
-    folder = scratch(spark, "staged")
-    strict_csv.write_strict_csv(df, folder, gzipped=True, single=True)
-    part = next(n for n in files.names(folder) if n.startswith("part-"))
-    files.make(f"{root}/{path}")
-    target = f"{path}/simple.csv.gz"
-    files.rename(f"{folder}/{part}", f"{root}/{target}")
-    files.delete(folder)
-    columns = [{"name": f.name, "type": f.dataType.simpleString(), "metadata": f.metadata or None} for f in df.schema.fields]
-    return {"$schema": FRAME_SCHEMA, "path": target, "is_child": child, "data_frame": {"columns": columns}}
+    return staging.stage_as(x, root, path, child, **options)
 
 
 def md5sum(spark: SparkSession, path: str) -> str:
+    """MD5 sum of a file, or one over the sums of a folder's files."""
+    if Files(spark).is_dir(path):
+        from cairnframe.sources import staging
+
+        return staging.folder_md5(spark, path)
     return spark.read.format("binaryFile").load(path).select(F.md5("content")).first()[0]
 
 
@@ -88,18 +83,11 @@ def acquire_metadata(spark: SparkSession, root: str, path: str) -> dict:
     return meta
 
 
-def load_object(spark: SparkSession, meta: dict, root: str) -> DataFrame:
-    return loaders.get(meta["$schema"])(spark, meta, root)
-
-
-def _load_frame(spark: SparkSession, meta: dict, root: str) -> DataFrame:
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
-    schema = StructType([StructField(c["name"], _parse_datatype_string(c["type"]), True, c.get("metadata") or {}) for c in meta["data_frame"]["columns"]])
-    return strict_csv.read_strict_csv(spark, acquire_file(root, meta["path"]), schema)
+def load_object(spark: SparkSession, meta: dict, root: str, **options) -> DataFrame:
+    from cairnframe.sources import staging  # noqa: F401  registers the loaders
 
+    return loaders.get(meta["$schema"])(spark, meta, root, **options)
 
-loaders.register(FRAME_SCHEMA, _load_frame)
 
 alt_stage = registry.Override(stage_object)
 alt_load = registry.Override(load_object)
@@ -112,17 +100,29 @@ def create_redirection(spark: SparkSession, root: str, source: str, target: str)
     return {"$schema": REDIRECTION_SCHEMA, "path": source, "redirection": {"targets": [{"type": "local", "location": target}]}}
 
 
-def quick_stage(df: DataFrame, root: str, path: str) -> None:
+def strip_null_documents(text: Column) -> Column:
+    """``strip_nulls`` for a column of JSON documents, compact; NULL stays."""
+
+    @F.pandas_udf("string")
+    def strip(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda d: None if d is None else json.dumps(strip_nulls(json.loads(d)), separators=(",", ":"), ensure_ascii=False))
+
+    return strip(text)
+
+
+def quick_stage(x, root: str, path: str) -> None:
     """Stage, write the document, and redirect the bare path to it."""
-    spark = df.sparkSession
+    from cairnframe.sources.store import spark_of
+
+    spark = spark_of(x)
     Files(spark).make(root)
-    done = write_metadata(spark, alt_stage(df, root, path), root)
+    done = write_metadata(spark, alt_stage(x, root, path), root)
     # the folder itself exists, so the alias is written directly
     write_metadata(spark, {"$schema": REDIRECTION_SCHEMA, "path": path, "redirection": {"targets": [{"type": "local", "location": done["path"]}]}}, root)
 
 
-def quick_load(spark: SparkSession, root: str, path: str) -> DataFrame:
-    return alt_load(spark, acquire_metadata(spark, root, path), root)
+def quick_load(spark: SparkSession, root: str, path: str, **options) -> DataFrame:
+    return alt_load(spark, acquire_metadata(spark, root, path), root, **options)
 
 
 def list_directory(spark: SparkSession, root: str, ignore_children: bool = True) -> dict[str, dict]:
@@ -152,6 +152,9 @@ def catalog_frames(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
     files = Files(spark)
     meta, redirects, other = [], [], []
     for name in files.walk(root):
+        if ".parquet/" in name:  # a folder of parts is one file here
+            other.append((name.split(".parquet/")[0] + ".parquet",))
+            continue
         if not name.endswith(".json"):
             other.append((name,))
             continue
@@ -162,7 +165,7 @@ def catalog_frames(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
             meta.append((doc["path"], name, bool(doc.get("is_child")), resources({k: v for k, v in doc.items() if k != "path"})))
     return (
         spark.createDataFrame(meta, "path string, file string, is_child boolean, children array<string>"),
-        spark.createDataFrame(other, "path string"),
+        spark.createDataFrame(sorted(set(other)), "path string"),
         spark.createDataFrame(redirects, "path string, target string"),
     )
 

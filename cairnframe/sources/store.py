@@ -17,14 +17,20 @@ import json
 from dataclasses import dataclass, field
 from functools import singledispatch
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairnframe.functions.types import ROW_ID, ROW_NAME, check_names
+from cairnframe.functions import missing
+from cairnframe.functions.types import PLACEHOLDER_KEY, ROW_ID, ROW_NAME, check_names
+from cairnframe.operators import vls
+from cairnframe.operators.rows import cut
 from cairnframe.plans import registry
 from cairnframe.sources import provenance
 from cairnframe.sources.files import Files
 
+#: Metadata of a column of pointers: the number of its heaps.
+VLS = "vls"
 # Object types and their versions.
 VERSIONS = {"data_frame": "1.1", "atomic_vector": "1.1", "string_factor": "1.0", "data_frame_factor": "1.0", "simple_list": "1.0"}
 
@@ -101,8 +107,17 @@ def read_descriptor(files: Files, path: str) -> dict:
     return body
 
 
+def scoped(options: dict, kind: str) -> dict:
+    """Options for objects of one type: ``<type>__<option>`` without its prefix, before options for all types."""
+    own = {k.removeprefix(f"{kind}__"): v for k, v in options.items() if k.startswith(f"{kind}__")}
+    return {k: v for k, v in options.items() if "__" not in k} | own
+
+
 def save_object(x, path: str, validate: bool = True, **options) -> None:
-    """Saves a table or one of the classes above. An existing path is refused; validation runs once, outermost."""
+    """Saves a table or one of the classes above. An existing path is refused; validation runs once, outermost.
+
+    Options reach all children; one named ``<type>__<option>`` counts for objects of that type only.
+    """
     files = Files(spark_of(x))
     if files.exists(path):
         raise FileExistsError(f"cannot save at existing path '{path}'")
@@ -140,6 +155,7 @@ def _(x: Frame, path: str, **options) -> None:
     files = Files(x.df.sparkSession)
     df = x.df.withColumnRenamed(x.row_names, ROW_NAME) if x.row_names else x.df
     check_names(df.columns)
+    df = _with_heaps(df, path, scoped(options, "data_frame").get("vls", False))
     extra: dict = {"row_names": x.row_names is not None, "columns": [c for c in df.columns if c not in (ROW_ID, ROW_NAME)]}
     if df.columns:
         numbered = df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
@@ -148,13 +164,61 @@ def _(x: Frame, path: str, **options) -> None:
         extra["row_count"] = df.count()
     write_descriptor(files, path, "data_frame", {"data_frame": extra})
     if x.column_annotations is not None:
-        save_object(Frame(x.column_annotations), f"{path}/column_annotations")
+        save_object(Frame(x.column_annotations), f"{path}/column_annotations", **options)
     if x.annotations:
         from cairnframe.operators import lists
 
         save_object(NestedList(lists.rows_of_value(df.sparkSession, x.annotations)), f"{path}/other_annotations")
 
 
+def _with_heaps(df: DataFrame, path: str, wanted: bool | None) -> DataFrame:
+    """String columns as pointers into heaps below ``path/heaps``: all (True), none (False), or those it saves bytes for (None).
+
+    Parquet stores strings by their length anyway, so none is the default; the option serves exchange
+    with layouts of fixed width.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != ROW_NAME]
+    if wanted is None and texts:
+        got = df.agg(*[vls.use_vls(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(texts)]).first()
+        texts = [c for c, use in zip(texts, got) if use]
+    if wanted is False or not texts:
+        return df
+    df = cut(df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id()))
+    names = df.columns
+    for name in texts:
+        at = names.index(name)
+        vls.heaps(df, ROW_ID, f"`{name}`").write.parquet(f"{path}/heaps/{at}")
+        block = F.floor(F.col(ROW_ID) / vls.BLOCK_ROWS)
+        size = F.coalesce(F.octet_length(f"`{name}`"), F.lit(0)).cast("long")
+        before = F.coalesce(F.sum(size).over(Window.partitionBy(block).orderBy(ROW_ID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        pointer = F.when(F.col(f"`{name}`").isNotNull(), F.struct(block.alias("block"), before.alias("block_offset"), size.alias("length")))
+        df = df.withColumn(name, pointer).withMetadata(name, {**df.schema[name].metadata, VLS: at})
+    return df.select(*[F.col(f"`{n}`").alias(n, metadata=df.schema[n].metadata) for n in names])
+
+
+def _from_heaps(df: DataFrame, path: str) -> DataFrame:
+    names = df.columns
+    for f in df.schema.fields:
+        if VLS in f.metadata:
+            heap = df.sparkSession.read.parquet(f"{path}/heaps/{f.metadata[VLS]}").select(F.col("block").alias("__block"), "heap")
+            p = F.col(f"`{f.name}`")
+            text = F.substring(F.col("heap"), p["block_offset"].cast("int") + 1, p["length"].cast("int")).cast("string")
+            rest = {k: v for k, v in f.metadata.items() if k != VLS}
+            df = df.join(heap, p["block"] == F.col("__block"), "left").withColumn(f.name, F.when(p.isNotNull(), text)).withMetadata(f.name, rest).drop("__block", "heap")
+    return df.select(*[F.col(f"`{n}`").alias(n, metadata=df.schema[n].metadata) for n in names])
+
+
+def attach_placeholder(spark: SparkSession, path: str, column: str, value) -> None:
+    """From now on ``value`` in a column of a saved table reads as missing. The data stay as they are."""
+    files = Files(spark)
+    body = read_descriptor(files, path)
+    if column not in spark.read.parquet(f"{path}/columns").columns:
+        raise KeyError(f"no column '{column}' at '{path}'")
+    info = body.setdefault("data_frame", {})
+    info["placeholders"] = {**info.get("placeholders", {}), column: str(value)}
+    files.write(f"{path}/OBJECT", json.dumps(body), replace=True)
+
+
 def _named(df: DataFrame, value: str, name: str | None) -> DataFrame:
     out = df.select(F.col(f"`{value}`").alias("value"), *([F.col(f"`{name}`").alias("name")] if name else []))
     out = out.withMetadata("value", df.schema[value].metadata)
@@ -164,7 +228,7 @@ def _named(df: DataFrame, value: str, name: str | None) -> DataFrame:
 
 @save_as.register
 def _(x: Vector, path: str, **options) -> None:
-    _named(x.df, x.value, x.name).write.parquet(f"{path}/columns")
+    _with_heaps(_named(x.df, x.value, x.name), path, scoped(options, "atomic_vector").get("vls", False)).write.parquet(f"{path}/columns")
     write_descriptor(Files(x.df.sparkSession), path, "atomic_vector")
 
 
@@ -180,7 +244,7 @@ def _(x: Factor, path: str, **options) -> None:
 def _(x: RowFactor, path: str, **options) -> None:
     _named(x.codes, "code", x.name).write.parquet(f"{path}/columns")
     write_descriptor(Files(x.codes.sparkSession), path, "data_frame_factor")
-    save_object(Frame(x.levels), f"{path}/levels")
+    save_object(Frame(x.levels), f"{path}/levels", **options)
 
 
 @save_as.register
@@ -188,7 +252,7 @@ def _(x: NestedList, path: str, **options) -> None:
     x.rows.write.parquet(f"{path}/columns")
     write_descriptor(Files(x.rows.sparkSession), path, "simple_list")
     for k, child in x.children.items():
-        save_object(child, f"{path}/other_contents/{k}")
+        save_object(child, f"{path}/other_contents/{k}", **options)
 
 
 def read_object(spark: SparkSession, path: str, metadata: dict | None = None, **options) -> DataFrame:
@@ -204,19 +268,26 @@ def _read(spark: SparkSession, path: str, metadata: dict | None = None, **option
         return registry.readers.get(body["type"])(spark, path, body, **options)
 
 
-def read_frame(spark: SparkSession, path: str, body: dict, keep_row_id: bool = False, include_nested: bool = True, **_) -> DataFrame:
+def read_frame(spark: SparkSession, path: str, body: dict, keep_row_id: bool = False, include_nested: bool = True, **options) -> DataFrame:
     """Columns as saved; ``include_nested=False`` leaves struct columns out, which prunes them from the scan."""
     info = body.get("data_frame", {})
     if "row_count" in info:
         return spark.range(info["row_count"]).select()
+    include_nested = scoped(options, "data_frame").get("include_nested", include_nested)
     df = spark.read.parquet(f"{path}/columns")
     if not include_nested:
-        df = df.select(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() != "struct"])
+        df = df.select(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() != "struct" or VLS in f.metadata])
+    if any(VLS in f.metadata for f in df.schema.fields):
+        df = _from_heaps(df, path)
+    for name, text in info.get("placeholders", {}).items():
+        if name in df.columns:
+            df = df.withMetadata(name, {**df.schema[name].metadata, PLACEHOLDER_KEY: text})
+            df = missing.decode_missing(df, name, df.schema[name].dataType)
     return df if keep_row_id else df.drop(ROW_ID)
 
 
 def read_vector(spark: SparkSession, path: str, body: dict, keep_row_id: bool = False, **_) -> DataFrame:
-    df = spark.read.parquet(f"{path}/columns")
+    df = _from_heaps(spark.read.parquet(f"{path}/columns"), path)
     return df if keep_row_id else df.drop(ROW_ID)
 
 
@@ -225,7 +296,7 @@ def read_row_factor(spark: SparkSession, path: str, body: dict, **options) -> Da
     from cairnframe.operators.factors import row_factor_decode
 
     codes = read_vector(spark, path, body, **options).withColumnRenamed("value", "code")
-    return row_factor_decode(codes, read_object(spark, f"{path}/levels"))
+    return row_factor_decode(codes, read_object(spark, f"{path}/levels", **options))
 
 
 def read_list(spark: SparkSession, path: str, body: dict, **_) -> DataFrame:
