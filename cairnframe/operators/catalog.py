@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnframe.functions.types import ROW_ID
+from cairnframe.operators.rows import cut, join_by_weight
 from cairnframe.operators.setrules import ancestors
 from cairnframe.sources.files import Files
 
@@ -64,8 +65,8 @@ def first_copies(df: DataFrame, key: str, content: str) -> DataFrame:
     """(key, first): the least key with equal content, by digest; the digest groups combine map-side."""
     digest = F.sha2(_encoded(F.col(content), df.schema[content].dataType), 256)
     d = df.select(key, digest.alias("digest"))
-    first = d.groupBy("digest").agg(F.min(key).alias("first"))
-    return d.join(first, "digest").select(key, "first")
+    first = cut(d.groupBy("digest").agg(F.min(key).alias("first"), F.count("*").alias("n")))
+    return join_by_weight(d, first, ["digest"], "n").select(key, "first")
 
 
 class DedupSession:

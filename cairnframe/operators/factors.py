@@ -11,6 +11,7 @@ from cairnframe.operators.rows import dense_index, small
 
 #: Levels up to which codes come from an array in the plan; beyond, from a join.
 INLINE_LEVELS = 200
+MOST_LEVELS = 100_000
 
 
 def code_of(c: Column, levels: list[str]) -> Column:
@@ -33,8 +34,15 @@ def factor_encode(df: DataFrame, column: str, levels: list[str], ordered: bool =
 
 
 def factor_levels(df: DataFrame, column: str) -> list[str]:
-    """Distinct values in ascending order; a dictionary is meant to fit the driver."""
-    return [r[0] for r in df.select(F.col(f"`{column}`").cast("string").alias("v")).where("v is not null").distinct().orderBy("v").collect()]
+    """Distinct values in ascending order, ``MOST_LEVELS`` at most: a dictionary is to fit the driver and a field's metadata.
+
+    Columns with more are no factors; ``row_factor_levels`` numbers any number of them without the driver.
+    """
+    distinct = df.select(F.col(f"`{column}`").cast("string").alias("v")).where("v is not null").distinct()
+    found = sorted((r[0] for r in distinct.limit(MOST_LEVELS + 1).collect()), key=lambda v: v.encode())
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"column '{column}' has more than {MOST_LEVELS} values")
+    return found
 
 
 def factor_decode(df: DataFrame, column: str) -> DataFrame:

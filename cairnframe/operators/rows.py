@@ -42,6 +42,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def join_by_weight(rows: DataFrame, side: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` (cut, one row a key, ``weight`` = how many rows have the key).
+
+    Keys that hold more than a quarter of an even partition's rows are joined by broadcast: there
+    are fewer than four times the partitions of them, whatever the data.  The rest is shuffled.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound = F.lit(max(1000, (side.agg(F.sum(weight)).first()[0] or 0) // (4 * parts)))
+    hot = F.broadcast(side.where(F.col(weight) > bound).drop(weight))
+    cold = side.where(F.col(weight) <= bound).drop(weight)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
 def dense_index(df: DataFrame, column: str, *order) -> DataFrame:
     """``df`` with a gapless number from 0 in the order given (or in partition order).
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import posixpath
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,15 +127,36 @@ def quick_load(spark: SparkSession, root: str, path: str, **options) -> DataFram
     return alt_load(spark, acquire_metadata(spark, root, path), root, **options)
 
 
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    """(file, path, redirection, is_child, children, targets, document) of every document below ``root``, read by the executors."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(root)
+    found = found.select(F.substring("path", len(base) + 2, 1 << 30).alias("file"), F.col("content").cast("string").alias("value"))
+    schema = "file string, path string, redirection boolean, is_child boolean, children array<string>, targets array<string>, document string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                doc = json.loads(text)
+                away = doc["$schema"].startswith("redirection/")
+                targets = [t["location"] for t in doc["redirection"]["targets"] if t["type"] == "local"] if away else []
+                children = [] if away else resources({k: v for k, v in doc.items() if k != "path"})
+                rows.append((name, doc["path"], away, bool(doc.get("is_child")), children, targets, text))
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
+            columns = zip(*rows) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["file", "path", "redirection", "is_child", "children", "targets", "document"])
+
+    return found.mapInArrow(run, schema)
+
+
 def list_directory(spark: SparkSession, root: str, ignore_children: bool = True) -> dict[str, dict]:
-    """All documents by path."""
-    files = Files(spark)
-    found = {}
-    for name in files.walk(root):
-        if name.endswith(".json"):
-            meta = json.loads(files.read(f"{root}/{name}"))
-            found[meta["path"]] = meta
-    return {p: m for p, m in found.items() if not (ignore_children and m.get("is_child"))}
+    """All documents by path, on the driver; ``documents`` has them as a table."""
+    found = documents(spark, root)
+    if ignore_children:
+        found = found.where("not is_child")
+    return {r["path"]: json.loads(r["document"]) for r in found.select("path", "document").collect()}
 
 
 def resources(value) -> list[str]:
@@ -149,24 +172,13 @@ def resources(value) -> list[str]:
 
 def catalog_frames(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(meta, files, redirects) of a directory, the input of the set rules."""
-    files = Files(spark)
-    meta, redirects, other = [], [], []
-    for name in files.walk(root):
-        if ".parquet/" in name:  # a folder of parts is one file here
-            other.append((name.split(".parquet/")[0] + ".parquet",))
-            continue
-        if not name.endswith(".json"):
-            other.append((name,))
-            continue
-        doc = json.loads(files.read(f"{root}/{name}"))
-        if doc["$schema"].startswith("redirection/"):
-            redirects += [(doc["path"], t["location"]) for t in doc["redirection"]["targets"] if t["type"] == "local"]
-        else:
-            meta.append((doc["path"], name, bool(doc.get("is_child")), resources({k: v for k, v in doc.items() if k != "path"})))
+    docs = documents(spark, root)
+    # a folder of parts is one file here
+    other = {n.split(".parquet/")[0] + ".parquet" if ".parquet/" in n else n for n in Files(spark).walk(root) if ".parquet/" in n or not n.endswith(".json")}
     return (
-        spark.createDataFrame(meta, "path string, file string, is_child boolean, children array<string>"),
-        spark.createDataFrame(sorted(set(other)), "path string"),
-        spark.createDataFrame(redirects, "path string, target string"),
+        docs.where("not redirection").select("path", "file", "is_child", "children"),
+        spark.createDataFrame([(n,) for n in sorted(other)], "path string"),
+        docs.where("redirection").select("path", F.explode("targets").alias("target")),
     )
 
 

@@ -173,8 +173,12 @@ def read_strict_csv(
     if schema is not None and len(schema) != len(names) - row_names:
         raise ValueError(f"expected {len(schema)} columns, not {len(names) - row_names}")
     if not names:
-        n = sum(parse(_content(bytes(r["content"]))).count for r in _files(spark, path).collect())
-        return spark.range(n).select()
+
+        def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([parse(_content(x), store=False).count for x in batch.column(1).to_pylist()], pa.int64())], names=["n"])
+
+        return spark.range(_files(spark, path).mapInArrow(lines, "n long").agg(F.sum("n")).first()[0] or 0).select()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
