@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnframe.operators.rows import join_by_weight  # noqa: F401  used by the operators
+
 #: Rows of a fixed-width side up to which it may be broadcast; counted, never guessed.
 BROADCAST_ROWS = 50_000
 
@@ -46,19 +48,6 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def join_by_weight(rows: DataFrame, side: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join of ``rows`` with ``side`` (cut, one row a key, ``weight`` = how many rows have the key).
-
-    Keys that hold more than a quarter of an even partition's rows are joined by broadcast: there
-    are fewer than four times the partitions of them, whatever the data.  The rest is shuffled.
-    """
-    heavy = side.agg(F.sum(weight)).first()[0] or 0
-    bound = F.lit(max(1000, heavy // (4 * shuffle_partitions(rows.sparkSession))))
-    hot = F.broadcast(side.where(F.col(weight) > bound).drop(weight))
-    cold = side.where(F.col(weight) <= bound).drop(weight)
-    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
-
-
 def key_runs(batches: Iterator[pa.RecordBatch], columns: int, rows: int = 50_000, size: int = 1 << 25) -> Iterator[list[np.ndarray]]:
     """Runs of sorted rows (as numpy columns) that end where the leading ``columns`` columns change."""
     held: list[pa.RecordBatch] = []

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.llm.common import connected_components, cut, shuffle_partitions, table
+from cairnframe.llm.common import connected_components, cut, join_by_weight, shuffle_partitions, small, table
 
 SAMPLES = 128
 PERIOD = 8192
@@ -199,8 +199,8 @@ def band_links(banded: DataFrame, least: float = LIKENESS, chunk: int = CHUNK) -
     """
     n = shuffle_partitions(banded.sparkSession)
     banded = cut(banded.select("key", "node", "fingerprint"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    own = banded.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sizes = cut(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
+    own = banded.join(small(sizes), "key").withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = own.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "fingerprint")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,7 @@ def near_documents(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     Equal fingerprints are one node.
     """
     fps = cut(fingerprints(docs).select("doc_id", "fingerprint"))
-    nodes = cut(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("low_id")).withColumn("node", F.xxhash64("fingerprint")))
+    nodes = cut(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n")).withColumn("node", F.xxhash64("fingerprint")))
 
     def keys(batches):
         for batch in batches:
@@ -239,9 +239,10 @@ def near_documents(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
 
     banded = nodes.select("node", "fingerprint").mapInArrow(keys, "node long, fingerprint string, keys array<long>").select("node", "fingerprint", F.explode("keys").alias("key"))
     links = band_links(banded, least)
-    rooted = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
-    named = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    return fps.join(rooted.join(named, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "component_id")
+    rooted = cut(nodes.join(connected_components(links), "node", "left").select("fingerprint", "low_id", "n", F.coalesce("component", "node").alias("root")))
+    named = cut(rooted.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count("*").alias("members")))
+    known = cut(join_by_weight(rooted, named, ["root"], "members").select("fingerprint", "component_id", "n"))
+    return join_by_weight(fps, known, ["fingerprint"], "n").select("doc_id", "component_id")
 
 
 def with_successors(docs: DataFrame) -> DataFrame:

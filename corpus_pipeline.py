@@ -8,14 +8,13 @@ it exists, ``n_chars`` follow what a stage does to the text.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnframe.llm import language, line_dedup, packing, secrets, simhash_wide
-from cairnframe.llm.common import cut, small, table
+from cairnframe.llm.common import checkpoint_folder, cut, small, table
 
 #: A text whose best language has less than this multiple of an even share of the decoding's weight fits no codeword.
 LEAST_LEAD = 1.1
@@ -36,7 +35,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language the labels teach; null labels get the predicted one.
 
     Texts that are null or have no letter go, and those that no codeword fits.  Where nothing is
-    labelled nothing can be learned, and every text with a letter stays.
+    labelled nothing can be learned, and every text with a letter stays.  Rows are judged one by one,
+    by their text alone, so repeated rows stay or go together; of languages that decode alike the
+    first in alphabetical order counts.  An empty table stays empty.
     """
     model = language.train(docs)
     if not model.languages:
@@ -52,7 +53,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 40 characters or more that five documents share stay in the largest doc_id only."""
+    """Lines of 40 characters or more that five documents share stay in the largest doc_id only.
+
+    Every row stays, with what is left of its text (possibly nothing); null texts and rows without
+    doc_id stay as they are.  All rows of the largest doc_id keep the line, repeats of it included.
+    An empty table stays empty.
+    """
     bitmaps = cut(line_dedup.keep_bitmaps(docs.select("doc_id", "text")))
     out = line_dedup.apply_keep_bitmaps(docs, bitmaps)
     changed = _with_text(out, F.when(F.col("__lines.n_dropped") > 0, F.col("__lines.kept")).otherwise(F.col("text")))
@@ -60,7 +66,11 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    The least doc_id stays (null last); of rows that repeat it, one.  Texts without words, null
+    ones among them, are copies of each other.  Groups are chains of pairs.  An empty table stays empty.
+    """
     numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
     groups = simhash_wide.near_groups(numbered.select(F.col("__rid").alias("rid"), "doc_id", "text"))
     gone = cut(groups.where(~F.col("kept")).select(F.col("rid").alias("__rid")))
@@ -68,14 +78,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hidden_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All documents, with secrets replaced by a mark.
+
+    Every row stays; a null text stays null.  Of overlapping spans one mark stays.  The models learn
+    from the rows given; an empty table stays empty.
+    """
     found = secrets.find_secrets(docs)
     changed = _with_text(found, F.when(F.size("__all") > 0, secrets.redact(F.col("text").cast("string"), F.col("__all"))).otherwise(F.col("text")))
     return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: the pieces of all documents with their ids."""
+    """Training sequences: the pieces of all documents with their ids.
+
+    Null and empty texts are one end id; repeated rows are packed each; of windows that a document
+    fills equally well the one opened last takes it.  An empty table gives no piece.
+    """
     return packing.pack(docs.select("doc_id", "text"), keep_ids=True)
 
 
@@ -90,11 +108,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each one's result is written to the shared folder and read again."""
-    root = spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = tempfile.mkdtemp(prefix="cairn-pipeline-")
-        spark.sparkContext.setCheckpointDir(root)
-    folder = f"{root}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
