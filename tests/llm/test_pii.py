@@ -102,3 +102,157 @@ def test_cards_and_ibans_beside_other_words():
             new, spans = C.replace(t)
             assert kind in [k for *_, k in spans], t
             assert C.reveal(new) == t
+
+
+# a slow matcher, one character after the other, that shares nothing with the operator
+
+WORD = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+DIGIT = "0123456789"
+
+
+def digits_at(t, i):
+    j = i
+    while j < len(t) and t[j] in DIGIT:
+        j += 1
+    return j - i
+
+
+def behind_is(t, j, chars):
+    return j < len(t) and t[j] in chars
+
+
+def before_is(t, i, chars):
+    return i > 0 and t[i - 1] in chars
+
+
+def slow_ssn(t, i):
+    if before_is(t, i, WORD + "-"):
+        return None
+    s = t[i : i + 11]
+    if len(s) < 11 or s[3] != "-" or s[6] != "-" or any(c not in DIGIT for c in s[:3] + s[4:6] + s[7:]) or behind_is(t, i + 11, WORD + "-"):
+        return None
+    return i + 11 if s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000" else None
+
+
+def slow_ip(t, i):
+    if before_is(t, i, WORD + "."):
+        return None
+    at, parts = i, []
+    for k in range(4):
+        n = min(3, digits_at(t, at))
+        if not n or (k < 3 and not behind_is(t, at + n, ".")):
+            return None
+        parts.append(t[at : at + n])
+        at += n + (k < 3)
+    if behind_is(t, at, WORD) or (behind_is(t, at, ".") and behind_is(t, at + 1, DIGIT)):
+        return None
+    return at if all(str(int(p)) == p and int(p) < 256 for p in parts) else None
+
+
+def slow_date(t, i):
+    if before_is(t, i, WORD + "./-"):
+        return None
+    found = []
+    n = digits_at(t, i)
+    for sep, widths in (("-", ((4,), (2,), (2,))), ("/", ((1, 2), (1, 2), (4,))), (".", ((1, 2), (1, 2), (4,)))):
+        at, parts = i, []
+        for k, allowed in enumerate(widths):
+            n = digits_at(t, at)
+            n = min(n, max(allowed))
+            if n not in allowed or (k < 2 and not behind_is(t, at + n, sep)):
+                break
+            parts.append(int(t[at : at + n]))
+            at += n + (k < 2)
+        else:
+            if not behind_is(t, at, WORD) and not (behind_is(t, at, "./-") and behind_is(t, at + 1, DIGIT)):
+                found.append((at, sep, parts))
+    for at, sep, parts in found:
+        y, m, d = parts if sep == "-" else parts[::-1]
+        if sep == "/" and m > 12 >= d:
+            m, d = d, m
+        leap = y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
+        if 1900 <= y < 2100 and 1 <= m <= 12 and 1 <= d <= (31, 28 + leap, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[m - 1]:
+            return at
+    return None
+
+
+def slow_email(t, i):
+    local = WORD + "._%+-"
+    if before_is(t, i, local):
+        return None
+    j = i
+    while behind_is(t, j, local):
+        j += 1
+    if j == i or not behind_is(t, j, "@") or not any(c in WORD for c in t[i:j]):
+        return None
+    k = j + 1
+    labels, start = [], k
+    while behind_is(t, k, WORD + "-."):
+        k += 1
+    best = None
+    # the longest end such that labels before dots are not empty and the last one has two letters or more
+    for e in range(k, start, -1):
+        labels = t[start:e].split(".")
+        if len(labels) > 1 and all(labels[:-1]) and len(labels[-1]) >= 2 and all(c in WORD[:52] for c in labels[-1]):
+            best = e
+            break
+    return best
+
+
+def test_matches_against_a_slow_matcher():
+    rnd = random.Random(11)
+    parts = ["12", "4", "2020", "03", "31", "29", "999", "0", "127", "1", "123", "45", "6789", "-", "/", ".", ".", "-", " ", " ", "x", "@", "mail", "org", "a", "_", "+", ",", "é", "２"]
+    shapes = ["2020-03-25", "1/2/2020", "31.12.1999", "12/31/2001", "29.02.2019", "123-45-6789", "000-12-3456", "10.0.0.1", "256.1.1.1", "a.b@c.org", "x@y", "q@m-1.co.uk"]
+    for _ in range(6000):
+        text = "".join(rnd.choice(parts) if rnd.random() < 0.75 else rnd.choice(shapes) for _ in range(rnd.randrange(1, 9)))
+        kinds = {"email": slow_email, "ssn": slow_ssn, "ip": slow_ip, "date": slow_date}
+        taken = []
+        for kind in ("email", "ssn", "ip", "date"):
+            i = 0
+            while i < len(text):
+                j = kinds[kind](text, i)
+                if j is None:
+                    i += 1
+                    continue
+                if not any(i < e and j > s for s, e, _ in taken):
+                    taken.append((i, j, kind))
+                i = j
+        other = [s for s in C.replace(text)[1] if s[2] not in kinds]
+        got = [s for s in C.replace(text)[1] if s[2] in kinds]
+        if other:  # telephone, card or account numbers have a place in the order too
+            continue
+        assert got == sorted(taken), text
+
+
+def slow_card(t):
+    """Card numbers in the usual groups, between characters that belong to no number."""
+    found = []
+    for i in range(len(t)):
+        for shape in ((16,), (4, 4, 4, 4), (4, 6, 5), (15,), (13,)):
+            for sep in " -":
+                at, ds = i, ""
+                for k, n in enumerate(shape):
+                    if digits_at(t, at) != n or (k < len(shape) - 1 and not behind_is(t, at + n, sep)):
+                        break
+                    ds += t[at : at + n]
+                    at += n + (k < len(shape) - 1)
+                else:
+                    total = sum(x if k % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for k, x in enumerate(int(c) for c in reversed(ds)))
+                    if total % 10 == 0 and len(set(ds)) > 1 and not before_is(t, i, WORD) and not behind_is(t, at, WORD):
+                        found.append((i, at))
+    return sorted(set(found))
+
+
+def test_cards_against_a_slow_matcher():
+    rnd = random.Random(12)
+    for _ in range(800):
+        body = "".join(rnd.choice(DIGIT) for _ in range(rnd.choice([12, 14, 15])))
+        number = body + (pii.luhn_check(body) if rnd.random() < 0.6 else rnd.choice(DIGIT))
+        shape = {16: [(16,), (4, 4, 4, 4)], 15: [(15,), (4, 6, 5)], 13: [(13,)]}[len(number)]
+        groups, at, sep = rnd.choice(shape), 0, rnd.choice(" -")
+        out = []
+        for n in groups:
+            out.append(number[at : at + n])
+            at += n
+        text = rnd.choice(["", "card ", "(", "no: "]) + sep.join(out) + rnd.choice(["", ".", ")", ", and"])
+        assert [(i, j) for i, j, k in C.replace(text)[1] if k == "card"] == slow_card(text), text
