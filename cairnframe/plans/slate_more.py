@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnframe.functions import datetimes, missing
+from cairnframe.functions import datetimes, missing, types
 from cairnframe.operators import factors, lists, setrules, validate
 from cairnframe.operators.rows import scratch
 from cairnframe.plans import registry
 from cairnframe.plans.slate import PRIORITIES, query, saved, table
 from cairnframe.sources import legacy, staging, store, strict_csv
-from cairnframe.sources.files import Files
+from cairnframe.sources.files import Files, copy_directory
 
 
 def staged(x, **options) -> tuple[str, dict]:
@@ -352,3 +352,143 @@ def object_heights(spark, sf):
     keys = [r[0] for r in nation.select("n_regionkey").distinct().collect()]
     found = [(k, validate.height(spark, saved(nation.where(F.col("n_regionkey") == k), "part"))) for k in keys]
     return spark.createDataFrame(found, f"n_regionkey {nation.schema['n_regionkey'].dataType.simpleString()}, height long")
+
+
+# smaller operators
+
+
+@query("SELECT p_partkey, p_size || '.' || p_partkey AS version FROM part")
+def version_strings(spark, sf):
+    """Versions are text and stay so through storage, whatever number they look like."""
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string")).alias("version"))
+    return store.read_object(spark, saved(types.versions_as_strings(p, "version"), "versions"))
+
+
+@query("SELECT c_name AS name, c_mktsegment AS value FROM customer")
+def factor_object(spark, sf):
+    c = table(spark, sf, "customer")
+    coded = factors.factor_encode(c.select("c_name", F.col("c_mktsegment").alias("v")), "v", factors.factor_levels(c, "c_mktsegment"))
+    return factors.factor_decode(store.read_object(spark, saved(store.Factor(coded, "v", "c_name"), "factor")), "value").select("name", "value")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'NA' ELSE o_orderstatus END AS v, CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 0 ELSE list_position(['NA', 'F', 'O', 'P'], o_orderstatus) - 1 END::INT AS code FROM orders")
+def factor_level_na(spark, sf):
+    """A level that reads NA is not missing; for formats without NULL missing is the number of levels."""
+    k = F.col("o_orderkey") % 3
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(k == 1, F.lit("NA")).when(k == 2, F.col("o_orderstatus")).alias("v"))
+    coded = store.read_object(spark, saved(factors.factor_encode(o, "v", ["NA", "F", "O", "P"]), "levels"))
+    coded = coded.withColumn("code", F.col("v")).withMetadata("code", coded.schema["v"].metadata)
+    return factors.with_placeholder(factors.factor_decode(coded, "v"), "code")
+
+
+@query("SELECT n_nationkey::VARCHAR AS object, 'vector' AS kind, n_name AS value FROM nation")
+def list_like_coerced(spark, sf):
+    """Tuples and dictionaries become typed lists."""
+    frames = [lists.rows_of_value(spark, ({"name": r["n_name"]},), str(r["n_nationkey"])) for r in table(spark, sf, "nation").collect()]
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f)
+    return rows.where("kind = 'vector'").select("object", "kind", F.get("values", F.lit(0)).alias("value"))
+
+
+@query("SELECT n_nationkey AS k, 'element 0/1: ''' || n_name || ''' is no integer' AS message FROM nation")
+def list_error_path(spark, sf):
+    """The message names the element by its path."""
+
+    def fault(name: str) -> str:
+        try:
+            list(lists.flatten({"type": "list", "values": [{"type": "list", "values": [{"type": "nothing"}, {"type": "integer", "values": [1, name]}]}]}))
+        except lists.ListError as e:
+            return str(e)
+        return ""
+
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    return spark.createDataFrame([(r[0], fault(r[1])) for r in n.collect()], f"k {n.schema['n_nationkey'].dataType.simpleString()}, message string")
+
+
+@query("SELECT 'external' AS rule, '7' AS detail UNION ALL SELECT 'names', ''")
+def list_rule_violations(spark, sf):
+    """A list that refers to a child it does not have, and names a value twice."""
+    doc = '{"type":"list","names":["a","a"],"values":[{"type":"external","index":7},{"type":"nothing"}]}'
+    rows = lists.list_to_rows(spark.createDataFrame([("x", doc)], "object string, json string"))
+    return validate.violations(spark, saved(store.NestedList(rows), "broken", validate=False)).select("rule", "detail")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def directory_copy(spark, sf):
+    path = saved(table(spark, sf, "nation").select("n_nationkey", "n_name"), "original")
+    copy_directory(spark, path, f"{path}-copy")
+    return store.read_object(spark, f"{path}-copy")
+
+
+@query("SELECT 'data_frame' AS type, [count(*), 4] AS dimensions FROM nation UNION ALL SELECT 'atomic_vector', [count(*)] FROM region UNION ALL SELECT 'mine', [7, 7]")
+def object_dimensions(spark, sf):
+    """Dimensions by the object's type, and by a function registered for a type of one's own."""
+    nation = table(spark, sf, "nation").limit(1_000_000)
+    frame = saved(nation.select(*nation.columns[:3], F.lit(1).alias("one")), "frame")
+    vector = saved(store.Vector(table(spark, sf, "region"), "r_name"), "vector")
+    mine = saved(nation, "mine")
+    files = Files(spark)
+    files.write(f"{mine}/OBJECT", files.read(f"{mine}/OBJECT").replace('"type": "data_frame"', '"type": "mine"'), replace=True)
+    registry.dimensions.register("mine", lambda *_: [7, 7], existing="new")
+    try:
+        found = [(t, validate.object_dimensions(spark, p)) for t, p in (("data_frame", frame), ("atomic_vector", vector), ("mine", mine))]
+    finally:
+        registry.dimensions.register("mine", None)
+    return spark.createDataFrame(found, "type string, dimensions array<long>")
+
+
+@query(_SEGMENTS)
+def legacy_list_parquet(spark, sf):
+    before = staging.list_format("parquet")
+    try:
+        root, meta = staged(store.NestedList(_segments(spark, sf)))
+    finally:
+        staging.list_format(before)
+    return _segment_values(legacy.load_object(spark, meta, root))
+
+
+@query("SELECT * FROM (VALUES ('moved', 'moved/simple.csv.gz'), ('moved/simple.csv.gz', NULL)) t(path, target)")
+def legacy_move_and_remove(spark, sf):
+    """A moved object's redirection follows; a removed one's goes with it."""
+    root = _older_directory(spark, sf)
+    legacy.move_object(spark, root, "nation/simple.csv.gz", "moved")
+    legacy.remove_object(spark, root, "region/simple.csv.gz")
+    validate.validate_directory(spark, root, attempt_load=True)
+    return legacy.documents(spark, root).select("path", F.get("targets", F.lit(0)).alias("target"))
+
+
+@query("SELECT unnest(['b/simple.csv.gz', 'c/simple.csv.gz', 'd/simple.csv.gz']) AS child")
+def resource_references(spark, sf):
+    """References are found at any depth of a document, in lists too."""
+    root = scratch(spark, "older")
+    Files(spark).make(root)
+    meta = legacy.stage_object(table(spark, sf, "region"), root, "a")
+    ref = lambda p: {"resource": {"type": "local", "path": f"{p}/simple.csv.gz"}}
+    meta["deep"] = [{"one": ref("b")}, {"more": {"two": [ref("c"), ref("d")]}}]
+    legacy.write_metadata(spark, meta, root)
+    return legacy.documents(spark, root).select(F.explode("children").alias("child"))
+
+
+@query("SELECT * FROM (VALUES ('a/simple.csv.gz', 'data_frame.columns'), ('a/simple.csv.gz', 'md5sum'), ('b', 'redirection.targets')) t(path, member)")
+def document_members(spark, sf):
+    """What documents lack by the rules of their kind."""
+    root = scratch(spark, "older")
+    files = Files(spark)
+    files.make(root)
+    files.write(f"{root}/a.json", '{"$schema": "csv_data_frame/v1.json", "path": "a/simple.csv.gz", "data_frame": {"row_names": false, "dimensions": [1, 1]}, "csv_data_frame": {"compression": "none"}}')
+    files.write(f"{root}/b.json", '{"$schema": "redirection/v1.json", "path": "b", "redirection": {"targets": null}}')
+    files.write(f"{root}/c.json", '{"$schema": "own/v2.json", "path": "c", "md5sum": "0"}')
+    return legacy.document_violations(spark, root)
+
+
+@query("SELECT doc_id, md5(text || chr(10)) AS md5 FROM documents WHERE doc_id < 5")
+def artifact_md5(spark, sf):
+    """MD5 sums of files as the documents of the older layout hold them."""
+    root = scratch(spark, "sums")
+    files = Files(spark)
+    files.make(root)
+    rows = table(spark, sf, "documents").where("doc_id < 5").select("doc_id", "text").collect()
+    for r in rows:
+        files.write(f"{root}/{r['doc_id']}", r["text"] + "\n")
+    return spark.createDataFrame([(r["doc_id"], legacy.md5sum(spark, f"{root}/{r['doc_id']}")) for r in rows], "doc_id long, md5 string")

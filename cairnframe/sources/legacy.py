@@ -141,7 +141,7 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
             for name, text in zip(*(c.to_pylist() for c in batch.columns)):
                 doc = json.loads(text)
                 away = doc["$schema"].startswith("redirection/")
-                targets = [t["location"] for t in doc["redirection"]["targets"] if t["type"] == "local"] if away else []
+                targets = [t["location"] for t in doc["redirection"].get("targets") or [] if t["type"] == "local"] if away else []
                 children = [] if away else resources({k: v for k, v in doc.items() if k != "path"})
                 rows.append((name, doc["path"], away, bool(doc.get("is_child")), children, targets, text))
             kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
@@ -151,6 +151,47 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     return found.mapInArrow(run, schema)
 
 
+# Members that a document of each kind must have; "a.b" is b in a.
+REQUIRED = {
+    "csv_data_frame": ["data_frame.columns", "data_frame.row_names", "data_frame.dimensions", "csv_data_frame.compression"],
+    "parquet_data_frame": ["data_frame.columns", "data_frame.row_names", "data_frame.dimensions"],
+    "atomic_vector": ["atomic_vector.type", "atomic_vector.length", "atomic_vector.names"],
+    "string_factor": ["factor.length", "factor.names", "string_factor.levels.resource.path", "string_factor.ordered"],
+    "data_frame_factor": ["factor.length", "factor.names", "data_frame_factor.levels.resource.path"],
+    "json_simple_list": ["simple_list.children", "json_simple_list.compression"],
+    "parquet_simple_list": ["simple_list.children"],
+    "redirection": ["redirection.targets"],
+}
+
+
+def missing_members(doc) -> list[str]:
+    """What a document lacks by the rules of its kind; documents of unknown kinds need a path only."""
+    if not isinstance(doc, dict) or not isinstance(doc.get("$schema"), str):
+        return ["$schema"]
+    wanted = ["path"] + REQUIRED.get(doc["$schema"].split("/")[0], [])
+    if not doc["$schema"].startswith("redirection/"):
+        wanted += ["md5sum"]
+    lost = []
+    for name in wanted:
+        at = doc
+        for part in name.split("."):
+            at = at.get(part) if isinstance(at, dict) else None
+        if at is None:
+            lost.append(name)
+    return lost
+
+
+def document_violations(spark: SparkSession, root: str) -> DataFrame:
+    """(path, member): members that documents lack, judged by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, m) for p, text in zip(*(c.to_pylist() for c in batch.columns)) for m in missing_members(json.loads(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["path", "member"])
+
+    return documents(spark, root).select("path", "document").mapInArrow(run, "path string, member string")
+
+
 def list_directory(spark: SparkSession, root: str, ignore_children: bool = True) -> dict[str, dict]:
     """All documents by path, on the driver; ``documents`` has them as a table."""
     found = documents(spark, root)
@@ -184,7 +225,8 @@ def catalog_frames(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
 
 def check_directory(spark: SparkSession, root: str, attempt_load: bool = False) -> None:
     """Raises with the violations of a directory."""
-    found = setrules.all_violations(*catalog_frames(spark, root)).collect()
+    members = document_violations(spark, root).select(F.concat(F.lit("no member "), "member").alias("rule"), "path")
+    found = setrules.all_violations(*catalog_frames(spark, root)).unionByName(members).collect()
     if attempt_load:
         for path, meta in list_directory(spark, root).items():
             if not meta["$schema"].startswith("redirection/"):
