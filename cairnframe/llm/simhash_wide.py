@@ -47,7 +47,7 @@ FLIPS = 5
 CROWD = 8
 CHUNK = 1024
 #: Segments whose crowded keys are compared before it is known what is joined already.
-FIRST_SEGMENTS = 4
+FIRST_SEGMENTS = 2
 #: Members of a group of candidates in a chunk: the least, and bytes of shingle hashes at most.
 SET_CHUNK = 128
 _SET_BYTES = 1 << 25
@@ -182,9 +182,6 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
             near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
-    fa, fb = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b"))
-    plain = pairs.join(fa, "a").join(fb, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(verify, "a long, b long")
-
     crowded = met.where("key is not null").select("key", F.col("a").alias("node"))
     chunks = cut(crowded.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
     chunked = crowded.join(small(chunks), "key").withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
@@ -203,10 +200,15 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
         dealt = placed.join(prints, "node").select("key", "own", "other", "node", "fp").repartition(n, "key", "own", "other")
         return dealt.sortWithinPartitions("key", "own", "other", "node").mapInArrow(span, "a long, b long")
 
-    # first inside the chunks of keys of some segments: members of one group share many keys, and each more would only repeat their links
+    # first inside the chunks of crowded keys of some segments: members of one group share many keys, and each more would only repeat their links
     few = chunked.where(F.shiftright("key", bits) < FIRST_SEGMENTS)
-    inside = plain.unionByName(spanned(few.withColumn("other", F.lit(0)))).distinct()
-    roots = cut(connected_components(inside))
+    first = cut(connected_components(spanned(few.withColumn("other", F.lit(0)))))
+    # then pairs of small keys that are not joined by that
+    ca, cb = (first.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b"))
+    fa, fb = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b"))
+    apart = pairs.join(ca, "a", "left").join(cb, "b", "left").where(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False)))
+    plain = apart.join(fa, "a").join(fb, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(verify, "a long, b long")
+    roots = cut(connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(plain)))
     # then every key again, between and inside its chunks, but only what is not joined yet: members outside the key's largest component against all others
     known = cut(chunked.join(roots, "node", "left").select("key", "node", "chunks", "own", F.coalesce("component", "node").alias("component")))
     sizes = known.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
