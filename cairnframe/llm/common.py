@@ -8,6 +8,7 @@ and no machine-local file is needed.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -73,6 +74,42 @@ def key_runs(batches: Iterator[pa.RecordBatch], columns: int, rows: int = 50_000
         yield [x.to_numpy(zero_copy_only=False) for x in whole.columns]
 
 
+def keys_and_crowds(batches: Iterator[pa.RecordBatch], most: int, rows: int = 50_000) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """(columns, False): rows sorted by their first column, the key, in whole runs of it; (columns, True): rows of a key with more than ``most``.
+
+    A crowded key passes through in pieces, however many rows it has; small keys come whole.
+    """
+    held: pa.Table | None = None
+    crowd = None  # the key that is passing through
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is not None:
+            one = pa.Table.from_batches([batch])
+            held = one if held is None else pa.concat_tables([held, one])
+        if held is None or (batch is not None and held.num_rows < rows):
+            continue
+        key = held.column(0).to_numpy()
+        if crowd is not None:
+            n = int(np.searchsorted(key, crowd, side="right"))
+            if n:
+                yield [c.to_numpy() for c in held.slice(0, n).columns], True
+            held, key = held.slice(n), key[n:]
+            if not len(key):
+                continue
+            crowd = None
+        last = 0 if key[0] == key[-1] else int(np.searchsorted(key, key[-1], side="left"))
+        if batch is None:
+            last = len(key)
+        if last:
+            yield [c.to_numpy() for c in held.slice(0, last).columns], False
+        held = held.slice(last)
+        if held.num_rows > most:
+            yield [c.to_numpy() for c in held.columns], True
+            crowd, held = key[-1], held.slice(held.num_rows)
+        held = held.combine_chunks()
+
+
 def key_edges(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first row, row behind the last) of every run of rows that agree in all columns."""
     change = np.zeros(len(columns[0]) - 1, bool)

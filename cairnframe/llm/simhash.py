@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.llm.common import connected_components, cut, join_by_weight, key_edges, key_runs, shuffle_partitions, table
+from cairnframe.llm.common import connected_components, cut, join_by_weight, key_edges, keys_and_crowds, shuffle_partitions, table
 
 SEED = 42
 SEGMENT_BITS = 32
@@ -103,9 +103,9 @@ def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     filed = distinct.select(F.explode(F.array(*segment_codes(F.col("f")))).alias("code"), "f").where("code is not null")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for code, f in key_runs(batches, 1):
+        for (code, f), crowded in keys_and_crowds(batches, CROWD):
             start, stop = key_edges(code)
-            size = stop - start
+            size = stop - start if not crowded else np.full(len(start), CROWD + 1)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for k in np.unique(size[(size > 1) & (size <= 16)]):
                 i, j = np.triu_indices(k, 1)
@@ -113,7 +113,7 @@ def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
                 found.append(_near(f[(at + i).ravel()], f[(at + j).ravel()]))
             for k in np.flatnonzero((size > 16) & (size <= CROWD)):
                 found.append(_forest(f[start[k] : stop[k]]))
-            rest = f[np.repeat(size > CROWD, size)]
+            rest = f if crowded else f[np.repeat(size > CROWD, size)]
             a = np.concatenate([*(x for x, _ in found), rest])
             b = [x for _, x in found]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.concat_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *b])), pa.nulls(len(rest), pa.int64())])], names=["a", "b"])

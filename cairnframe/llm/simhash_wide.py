@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnframe.llm.common import connected_components, cut, join_by_weight, key_edges, key_runs, shuffle_partitions, small
+from cairnframe.llm.common import connected_components, cut, join_by_weight, key_edges, key_runs, keys_and_crowds, shuffle_partitions, small
 from cairnframe.llm.simhash import SEED
 
 SHINGLE = 5
@@ -47,7 +47,7 @@ FLIPS = 5
 CROWD = 8
 CHUNK = 1024
 #: Segments whose crowded keys are compared before it is known what is joined already.
-FIRST_SEGMENTS = 2
+FIRST_SEGMENTS = 4
 #: Members of a group of candidates in a chunk: the least, and bytes of shingle hashes at most.
 SET_CHUNK = 128
 _SET_BYTES = 1 << 25
@@ -152,7 +152,10 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1])), pa.array(code)], names=["key", "node", "code"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, code in key_runs(batches, 1):
+        for (key, node, code), crowded in keys_and_crowds(batches, CROWD):
+            if crowded:
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.nulls(len(key), pa.int64())], names=["key", "a", "b"])
+                continue
             start, stop = key_edges(key)
             size = stop - start
             out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -188,21 +191,22 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
     prints = nodes.select("node", "fp")
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, own, other, node, fp in key_runs(batches, 3):
+        for key, own, other, node, group, fp in key_runs(batches, 3):
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for s, e in zip(*key_edges(key, own, other)):
                 x = np.frombuffer(b"".join(fp[s:e]), "<u8").reshape(-1, WORDS)
-                out.append(_spanning(x, node[s:e], most))
+                alone = (group[s:e] == node[s:e]).all()
+                out.append(_spanning(x, node[s:e], most) if alone else _joining(x, node[s:e], group[s:e], most))
             arrays = [pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(2)]
             yield pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
 
     def spanned(placed: DataFrame) -> DataFrame:
-        dealt = placed.join(prints, "node").select("key", "own", "other", "node", "fp").repartition(n, "key", "own", "other")
+        dealt = placed.join(prints, "node").select("key", "own", "other", "node", "group", "fp").repartition(n, "key", "own", "other")
         return dealt.sortWithinPartitions("key", "own", "other", "node").mapInArrow(span, "a long, b long")
 
     # first inside the chunks of crowded keys of some segments: members of one group share many keys, and each more would only repeat their links
     few = chunked.where(F.shiftright("key", bits) < FIRST_SEGMENTS)
-    first = cut(connected_components(spanned(few.withColumn("other", F.lit(0)))))
+    first = cut(connected_components(spanned(few.withColumn("other", F.lit(0)).withColumn("group", F.col("node")))))
     # then pairs of small keys that are not joined by that
     ca, cb = (first.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b"))
     fa, fb = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b"))
@@ -216,8 +220,8 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
     still = known.join(small(open_keys), "key")
     against = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
     outside = still.where("component <> largest").withColumn("other", F.pmod(F.xxhash64("node", F.lit(1)), "rests").cast("int")).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    columns = ("key", "own", "other", "node")
-    between = spanned(against.select(*columns).unionByName(outside.select(*columns)))
+    columns = ("key", "own", "other", "node", F.col("component").alias("group"))
+    between = spanned(against.select(*columns).unionByName(outside.select(*columns)).distinct())
     return roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(between)
 
 
@@ -243,6 +247,25 @@ def _spanning(fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray,
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _joining(fp: np.ndarray, node: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join everything within ``most`` bits in the rows, where rows of one ``group`` are joined already.
+
+    Rows outside the largest group are compared with all that they are not joined with.
+    """
+    groups, label, size = np.unique(group, return_inverse=True, return_counts=True)
+    a: list[int] = []
+    b: list[int] = []
+    for k in np.flatnonzero(label != size.argmax()):
+        other = np.flatnonzero(label != label[k])
+        near = other[np.bitwise_count(fp[other] ^ fp[k]).sum(axis=1) <= most]
+        if len(near):
+            found, first = np.unique(label[near], return_index=True)
+            a += [int(node[k])] * len(found)
+            b += node[near[first]].tolist()
+            label[np.isin(label, found)] = label[k]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _alike(node: np.ndarray, group: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], similarity: float, most: int) -> tuple[list[int], list[int]]:
     """Links that join all rows whose sets reach ``similarity``; rows of one ``group`` are joined already."""
     size = np.array([len(x) for x in sets])

@@ -90,6 +90,33 @@ def test_hot_keys_are_joined_by_broadcast(spark):
     assert got.count() == 3998 and got.where("name <> k + 1").count() == 0 and got.columns == ["k", "v", "name"]
 
 
+def test_crowds_pass_in_pieces():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from cairnframe.llm.common import keys_and_crowds
+
+    rnd = random.Random(2)
+    for case in range(60):
+        keys = sorted(rnd.choice([rnd.randrange(40), 7, 19]) for _ in range(rnd.randrange(0, 400)))
+        batches, at = [], 0
+        while at < len(keys):
+            n = rnd.randrange(0, 60)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(keys[at : at + n], pa.int64()), pa.array(range(at, min(len(keys), at + n)), pa.int64())], names=["k", "v"]))
+            at += n
+        got, small = [], {}
+        for (k, v), crowd in keys_and_crowds(iter(batches), 10, rows=rnd.choice([1, 20, 500])):
+            assert len(k) == len(v) and (not crowd or len(np.unique(k)) == 1)
+            got += v.tolist()
+            for x in [] if crowd else np.unique(k).tolist():
+                assert x not in small
+                small[x] = int((k == x).sum())
+        assert got == list(range(len(keys)))
+        assert all(n == keys.count(x) for x, n in small.items()) and {x for x in keys if keys.count(x) <= 10} <= set(small)
+
+
 def test_odd_rows(spark, tmp_path):
     rows = simhash.op2_simhash(spark, saved(clashing(documents(spark)), tmp_path)).collect()
     assert len(rows) == 9
