@@ -29,8 +29,9 @@ from cairnframe.plans import registry
 from cairnframe.sources import provenance
 from cairnframe.sources.files import Files
 
-#: Metadata of a column of pointers: the number of its heaps.
+#: Metadata of a column of pointers: the number of its heaps, and rows that share a heap (each of them is cut from a copy of it).
 VLS = "vls"
+HEAP_ROWS = 64
 # Object types and their versions.
 VERSIONS = {"data_frame": "1.1", "atomic_vector": "1.1", "string_factor": "1.0", "data_frame_factor": "1.0", "simple_list": "1.0"}
 
@@ -187,8 +188,8 @@ def _with_heaps(df: DataFrame, path: str, wanted: bool | None) -> DataFrame:
     names = df.columns
     for name in texts:
         at = names.index(name)
-        vls.heaps(df, ROW_ID, f"`{name}`").write.parquet(f"{path}/heaps/{at}")
-        block = F.floor(F.col(ROW_ID) / vls.BLOCK_ROWS)
+        vls.heaps(df, ROW_ID, f"`{name}`", HEAP_ROWS).write.parquet(f"{path}/heaps/{at}")
+        block = F.floor(F.col(ROW_ID) / HEAP_ROWS)
         size = F.coalesce(F.octet_length(f"`{name}`"), F.lit(0)).cast("long")
         before = F.coalesce(F.sum(size).over(Window.partitionBy(block).orderBy(ROW_ID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         pointer = F.when(F.col(f"`{name}`").isNotNull(), F.struct(block.alias("block"), before.alias("block_offset"), size.alias("length")))
@@ -197,15 +198,30 @@ def _with_heaps(df: DataFrame, path: str, wanted: bool | None) -> DataFrame:
 
 
 def _from_heaps(df: DataFrame, path: str) -> DataFrame:
-    names = df.columns
-    for f in df.schema.fields:
-        if VLS in f.metadata:
-            heap = df.sparkSession.read.parquet(f"{path}/heaps/{f.metadata[VLS]}").select(F.col("block").alias("__block"), "heap")
-            p = F.col(f"`{f.name}`")
-            text = F.substring(F.col("heap"), p["block_offset"].cast("int") + 1, p["length"].cast("int")).cast("string")
-            rest = {k: v for k, v in f.metadata.items() if k != VLS}
-            df = df.join(heap, p["block"] == F.col("__block"), "left").withColumn(f.name, F.when(p.isNotNull(), text)).withMetadata(f.name, rest).drop("__block", "heap")
-    return df.select(*[F.col(f"`{n}`").alias(n, metadata=df.schema[n].metadata) for n in names])
+    """Strings instead of pointers: rows meet the heaps of their block once, as a group, so that no heap is copied for each row."""
+    pointed = [f.name for f in df.schema.fields if VLS in f.metadata]
+    if not pointed:
+        return df
+    meta = {f.name: {k: v for k, v in f.metadata.items() if k != VLS} for f in df.schema.fields}
+    columns = [F.col(f"`{n}`") for n in df.columns]
+    block = F.floor(F.col(ROW_ID) / HEAP_ROWS).alias("__block")
+    blocks = df.groupBy(block).agg(F.collect_list(F.struct(*columns)).alias("__rows"))
+    for i, name in enumerate(pointed):
+        heap = df.sparkSession.read.parquet(f"{path}/heaps/{df.schema[name].metadata[VLS]}")
+        blocks = blocks.join(heap.select(F.col("block").alias("__block"), F.col("heap").alias(f"__heap{i}")), "__block", "left")
+
+    def row(r):
+        out = []
+        for name in df.columns:
+            value = r.getField(name)
+            if name in pointed:
+                text = F.substring(F.col(f"__heap{pointed.index(name)}"), value["block_offset"].cast("int") + 1, value["length"].cast("int")).cast("string")
+                value = F.when(value.isNotNull(), text)
+            out.append(value.alias(name))
+        return F.struct(*out)
+
+    found = blocks.select(F.explode(F.transform("__rows", row)).alias("r"))
+    return found.select(*[F.col("r").getField(n).alias(n, metadata=meta[n]) for n in df.columns])
 
 
 def attach_placeholder(spark: SparkSession, path: str, column: str, value) -> None:
