@@ -8,6 +8,7 @@ and no machine-local file is needed.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -74,6 +75,12 @@ def key_runs(batches: Iterator[pa.RecordBatch], columns: int, rows: int = 50_000
         yield [x.to_numpy(zero_copy_only=False) for x in whole.columns]
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of plans that nothing refers to any more, now and not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keys_and_crowds(batches: Iterator[pa.RecordBatch], most: int, rows: int = 50_000) -> Iterator[tuple[list[np.ndarray], bool]]:
     """(columns, False): rows sorted by their first column, the key, in whole runs of it; (columns, True): rows of a key with more than ``most``.
 

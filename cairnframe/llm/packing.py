@@ -45,9 +45,9 @@ SLACK = 4
 #: Windows that one task merges at most (8 KB of ids each).
 MERGE_WINDOWS = 2048
 #: Distinct parts in each half of a worker's memory; they change speed only.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 120_000
 CACHE_CHARS = 64
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 2_000_000
 #: Pieces, and ids with them, that a task gathers before it passes them on.
 _ROWS, _IDS = 4096, 500_000
 #: Signs that close a word: one run of them is one word of the vocabulary's pattern (the apostrophe has rules of its own).

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnframe.llm.common import connected_components, cut, join_by_weight, key_edges, key_runs, keys_and_crowds, shuffle_partitions, small
+from cairnframe.llm.common import connected_components, cut, join_by_weight, key_edges, key_runs, keys_and_crowds, release, shuffle_partitions, small
 from cairnframe.llm.simhash import SEED
 
 SHINGLE = 5
@@ -177,6 +177,7 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
 
     filed = nodes.select("node", "fp", "low").mapInArrow(index, "key long, node long, code long").repartition(n, "key").sortWithinPartitions("key", "node")
     met = cut(filed.mapInArrow(meet, "key long, a long, b long"))
+    release(spark)
     pairs = met.where("key is null").select("a", "b").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +213,7 @@ def wide_links(nodes: DataFrame, bits: int, similarity: float = SIMILARITY) -> D
     fa, fb = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b"))
     apart = pairs.join(ca, "a", "left").join(cb, "b", "left").where(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False)))
     plain = apart.join(fa, "a").join(fb, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(verify, "a long, b long")
+    release(spark)
     roots = cut(connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(plain)))
     # then every key again, between and inside its chunks, but only what is not joined yet: members outside the key's largest component against all others
     known = cut(chunked.join(roots, "node", "left").select("key", "node", "chunks", "own", F.coalesce("component", "node").alias("component")))
@@ -357,7 +359,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     bits = segment_bits(None)
     rows = cut(_fingerprints(docs, shingle, bits))
     nodes = cut(rows.groupBy("digest").agg(F.min("rid").alias("node"), F.any_value("fp").alias("fp"), F.any_value("low").alias("low"), F.count("*").alias("n")))
+    release(docs.sparkSession)
     candidates = cut(connected_components(wide_links(nodes, bits, similarity)))
+    release(docs.sparkSession)
     roots = connected_components(similar_links(docs, nodes, candidates, similarity, shingle))
     rooted = cut(nodes.join(roots, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component")))
     grouped = cut(join_by_weight(rows.select("rid", "doc_id", "digest"), rooted, ["digest"], "n").select("rid", "doc_id", "component"))

@@ -36,7 +36,6 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -45,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.llm.common import cut, shuffle_partitions, table
+from cairnframe.llm.common import cut, release, shuffle_partitions, table
 
 LENGTH = 100
 ANCHOR = 28
@@ -457,12 +456,6 @@ def _lower_levels(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
     return pieces.repartition(n, "key").sortWithinPartitions("key").mapInArrow(repeats, "uid long, start long, stop long")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, documents) as (uid, doc_id, text): uid orders documents; doc_id itself where it is unique and never null.
 
