@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import codecs
+import gzip
+import io
+import itertools
 import os
 import posixpath
+import re
 import shutil
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a file that are unzipped and decoded at once.
+PIECE = 1 << 20
+
 
 class Files:
     """Small driver-side reads and writes through Spark's own file systems."""
@@ -73,6 +86,101 @@ class Files:
         return sorted(found)
 
 
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, line): the bytes of each file as it lies there, cut at line ends; ``raw_streams`` puts them together again.
+
+    Spark's text reader streams them, so nobody holds a file.  A codec that passes bytes through keeps
+    files from being unzipped and split; it goes by one ending of names, so files of each ending that
+    some codec knows are read by themselves, and all files where they share one.  Others may be split,
+    and are brought together and put in order by a shuffle.  Spark leaves out files of no bytes.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    endings = {posixpath.splitext(name)[1] for name in found.inputFiles()}
+    jvm = spark._jvm.org.apache.hadoop
+    codecs_by_name = jvm.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    whole = {e for e in endings if re.fullmatch(r"\.\w+", e, re.ASCII) and (len(endings) == 1 or codecs_by_name.getCodec(jvm.fs.Path("x" + e)))}
+    line = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+    parts = []
+    for ending in sorted(whole):
+        reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", f"*{ending}").option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
+        # Hadoop's shaded client knows the option by the second name
+        for name in ("io.compress.passthrough.extension", "org.apache.hadoop.shaded.io.compress.passthrough.extension"):
+            reader = reader.option(name, ending)
+        parts.append(reader.text(path).select(*line))
+    if endings - whole or not endings:
+        placed = spark.read.option("lineSep", "\n").text(path)
+        for ending in sorted(whole):
+            placed = placed.where(~F.endswith("_metadata.file_name", F.lit(ending)))
+        placed = placed.select(*line, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+        parts.append(placed.repartition("path").sortWithinPartitions("path", "block", "at").drop("block", "at"))
+    return reduce(DataFrame.union, parts)
+
+
+class ByteOrderMark(ValueError):
+    """A file begins with one; Spark's reader drops it."""
+
+
+class RawStream(io.RawIOBase):
+    """The bytes of one file, given in pieces."""
+
+    def __init__(self, pieces: Iterator[bytes], size: int):
+        self._pieces, self._size, self._seen, self._piece = pieces, size, 0, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, b) -> int:
+        while not self._piece:
+            piece = next(self._pieces, None)
+            if piece is None:
+                if self._size - self._seen in (2, 3):
+                    raise ByteOrderMark
+                if self._seen not in (self._size, self._size + 1):
+                    raise OSError(f"{self._seen} bytes of a file of {self._size}")
+                return 0
+            # each line came with an end, the last one of the file may have none
+            self._piece = memoryview(piece)[: self._size - self._seen]
+            self._seen += len(piece)
+            if self._seen > self._size + 1:
+                raise OSError(f"more than the {self._size} bytes of a file")
+        n = min(len(b), len(self._piece))
+        b[:n] = self._piece[:n]
+        self._piece = self._piece[n:]
+        return n
+
+    def drain(self) -> None:
+        """Reads on to the end, where the size is checked."""
+        b = bytearray(PIECE)
+        while self.readinto(b):
+            pass
+
+    def texts(self) -> Iterator[str]:
+        """The text in pieces, unzipped where it is zipped."""
+        source = io.BufferedReader(self, PIECE)
+        if source.peek(2)[:2] == b"\x1f\x8b":
+            source = gzip.GzipFile(fileobj=source)
+        decode = codecs.getincrementaldecoder("utf-8")().decode
+        while data := source.read(PIECE):
+            yield decode(data)
+        decode(b"", True)
+
+
+def raw_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, RawStream]]:
+    """(path, stream) of each file of a task of ``raw_lines``; to be read in turn."""
+
+    def pieces() -> Iterator[tuple[str, int, bytes]]:
+        for batch in batches:
+            at, runs = 0, pc.run_end_encode(batch.column(0))
+            for path, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                size = batch.column(1)[at].as_py()
+                yield path, size, b"\n".join([*batch.column(2).slice(at, end - at).to_pylist(), b""])
+                at = end
+
+    for (path, size), found in itertools.groupby(pieces(), key=lambda p: p[:2]):
+        # from the reader's URI to a path as Spark lists it
+        yield re.sub("^file:///", "file:/", unquote(path)), RawStream((p[2] for p in found), size)
+
+
 def absolutize(path: str, base: str | None = None) -> str:
     """Lexically absolute path: ``~``, ``.`` and ``..`` resolved, no look at the disk."""
     full = posixpath.join(base or os.getcwd(), os.path.expanduser(path))

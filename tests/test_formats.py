@@ -2,7 +2,9 @@ import gzip
 import json
 import math
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +211,104 @@ def test_legacy_tree(spark, tmp_path):
         legacy.check_directory(spark, root)
     assert legacy.strip_nulls({"a": None, "b": [{"c": None, "d": 1}]}) == {"b": [{"d": 1}]}
     assert legacy.resources({"x": [{"resource": {"path": "p"}}], "resource_": {"y": {"resource": {"path": "q"}}}}) == ["p", "q"]
+
+
+def test_csv_in_pieces():
+    text = '"a","b,""\n"\n"x ""y""\n",1\nNA,NA\n"""",NaN\n"z",-1.5e3\n'
+    whole = parse(text)
+    for size in range(1, len(text) + 1):
+        p = strict_csv.Parser()
+        columns = [p.feed(text[i : i + size]) for i in range(0, len(text), size)] + [p.feed("", last=True)]
+        rows = [list(r) for c in columns for r in zip(*c)]
+        assert (p.names, p.types, p.count, repr(rows)) == (whole.names, whole.types, whole.count, repr(whole.rows))
+    # the same errors at the same places, also where a quote is never closed
+    for bad in (text + '"x\n', text + "1", text + '1,"q"\n', text[:-1] + ",2\n", text + "NA,NA,NA\n", text + '"x"y,1\n', text + '"x\n\n"",1\n' + text):
+        with pytest.raises(CsvError) as want:
+            parse(bad)
+        for size in (1, 3, 10):
+            p = strict_csv.Parser(store=False)
+            with pytest.raises(CsvError) as got:
+                for i in range(0, len(bad), size):
+                    p.feed(bad[i : i + size])
+                p.feed("", last=True)
+            assert str(got.value) == str(want.value)
+
+
+def test_csv_parser_holds_a_piece():
+    """Memory goes by the piece, whatever the file's length, and by one record behind an open quote."""
+    piece = "".join(f'"text {i % 50}",{i}\n' for i in range(2000))
+
+    def peak(n):
+        p = strict_csv.Parser()
+        p.feed('"a","b"\n')
+        tracemalloc.start()
+        try:
+            for _ in range(n):
+                p.feed(piece)
+            p.feed("", last=True)
+            return p.count, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (few, small), (many, large) = peak(5), peak(50)
+    assert (few, many) == (10_000, 100_000) and large < 1.5 * small
+
+
+def test_csv_files_as_they_lie(spark, tmp_path):
+    """Zipped by content whatever the name, several members, marks, ends of lines; several endings, or none, and splits."""
+    plain = '"a","b"\n' + "".join(f'"line\n{i} é",{i}\n' for i in range(20_000))
+    half = len(plain.encode()) // 2
+    zipped = gzip.compress(plain.encode()[:half]) + gzip.compress(plain.encode()[half:]) + b"\0" * 8
+    want = [(f"line\n{i} é", float(i)) for i in range(20_000)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        for name, content in (("x.csv", plain.encode()), ("x", plain.encode()), ("a b%20.gz", zipped), ("x.gz", plain.encode()), ("x.csv", zipped), ("x", zipped), ("x.bz2", plain.encode())):
+            folder = tmp_path / f"{name}-{len(content)}"
+            folder.mkdir()
+            (folder / name).write_bytes(content)
+            for at in (folder, folder / name if "%" not in name else folder):
+                assert [tuple(r) for r in strict_csv.read_strict_csv(spark, str(at)).collect()] == want
+            (folder / "other.gz2").write_bytes(plain.encode())
+            back = strict_csv.read_strict_csv(spark, str(folder))
+            assert sorted(map(tuple, back.collect())) == sorted(want + want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    bad = {"em pty.gz": (gzip.compress(b""), 1), "open.csv": (b'"a"\n1', 2), "open.gz": (gzip.compress(b'"a"\n1'), 2), "mark.csv": (b'\xef\xbb\xbf"a"\n1\nx\n', 1), "mark": (b'\xef\xbb\xbf"a"\n1', 1)}
+    good = {"good.csv": b'"a"\n1\n', "blank.csv": b"\n\n\n", "good": b'"a"\n'}
+    for together in (True, False):
+        for name, (content, line) in bad.items():
+            folder = tmp_path / f"bad-{together}-{name}"
+            folder.mkdir()
+            (folder / name).write_bytes(content)
+            for other, text in good.items() if together else ():
+                (folder / other).write_bytes(text)
+            assert [(r.path, r.line) for r in strict_csv.csv_violations(spark, str(folder)).collect()] == [(f"file:{folder}/{name}", line)]
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "x.gz").write_bytes(zipped[:200])
+    with pytest.raises(Exception, match="EOFError"):
+        strict_csv.read_strict_csv(spark, str(tmp_path / "cut"))
+
+
+def test_csv_worker_memory(spark, tmp_path):
+    """A Python worker keeps no file: one of 39 MB that zips to little takes less than 20 MB more than one of a row."""
+    header, row = '"a","b"\n', '"' + "x" * 60 + '",1\n'
+
+    def peak(name, n):
+        (tmp_path / name).write_bytes(gzip.compress((header + row * n).encode()))
+
+        def run(batches):
+            tracemalloc.start()
+            count = 0
+            for _, raw in files.raw_streams(batches):
+                p = strict_csv.Parser()
+                for columns in strict_csv._parsed(raw, p):
+                    count += len(columns[0]) if columns else 0
+            top = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([top])], names=["n", "top"])
+
+        return tuple(files.raw_lines(spark, str(tmp_path / name)).mapInArrow(run, "n long, top long").first())
+
+    (one, low), (many, high) = peak("one.gz", 1), peak("many.gz", 600_000)
+    assert (one, many) == (1, 600_000) and high < low + 20e6
