@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a file that are unzipped and decoded at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 class Files:
