@@ -16,7 +16,7 @@ class Most(AccumulatorParam):
         return max(a, b)
 
 
-@pytest.mark.parametrize("name", ["legacy_redirected_load", "legacy_frame"])
+@pytest.mark.parametrize("name", ["legacy_redirected_load", "legacy_frame", "legacy_frame_without_nested"])
 def test_workers_hold_no_file(spark, monkeypatch, name):
     most, kind = spark.sparkContext.accumulator(0, Most()), type(spark.range(1))
     plain = kind.mapInArrow
